@@ -80,7 +80,8 @@ def _small(files: DataFrame, most: int = 100_000) -> bool:
 def record_delta(rows: DataFrame, old: Manifest | None, new: Manifest) -> tuple[DataFrame, DataFrame]:
     """Rows that `new` has and `old` has not, and places (file, pos) that `old` has and `new` has not.
 
-    rows: the table itself, read from its files. Only files that are new or whose vectors differ are read.
+    rows: the table itself, read from its files. Only files that are new or whose vectors differ are read. Vectors are
+    matched by sorting: stored places are far smaller than in memory, so that their size on disk is no bound.
     """
     files, vectors = new.files, new.vectors
     if old is None:
@@ -88,19 +89,19 @@ def record_delta(rows: DataFrame, old: Manifest | None, new: Manifest) -> tuple[
         touched, exposed = files.select("file"), None
     else:
         added = files.join(old.files, "file", "left_anti").select("file")
-        exposed = old.vectors.join(vectors, PLACE, "left_anti").join(files.select("file"), "file", "left_semi")
+        exposed = old.vectors.join(vectors.hint("merge"), PLACE, "left_anti").join(files.select("file"), "file", "left_semi")
         touched = added
         removed = old.files.join(files, "file", "left_anti").select("file")
-        lost = vectors.join(old.vectors, PLACE, "left_anti").join(old.files.select("file"), "file", "left_semi")
+        lost = vectors.join(old.vectors.hint("merge"), PLACE, "left_anti").join(old.files.select("file"), "file", "left_semi")
         all_lost = removed.join(old.vectors.groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file", "left").select("file", F.lit(None).cast("bigint").alias("pos"))
         gone = lost.unionByName(all_lost)
     small = _small(files)
     b = F.broadcast if small else (lambda x: x)
     placed = with_place(rows)
-    whole = placed.join(b(touched), "file", "left_semi").join(vectors, PLACE, "left_anti")
+    whole = placed.join(b(touched), "file", "left_semi").join(vectors.hint("merge"), PLACE, "left_anti")
     if exposed is None:
         return whole.drop(*PLACE), gone
-    some = placed.join(b(exposed.select("file").distinct()), "file", "left_semi").join(exposed, PLACE, "left_semi")
+    some = placed.join(b(exposed.select("file").distinct()), "file", "left_semi").join(exposed.hint("merge"), PLACE, "left_semi")
     return whole.unionByName(some).drop(*PLACE), gone
 
 

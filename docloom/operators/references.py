@@ -23,7 +23,9 @@ BLOCK_BITS = 16
 
 def hex_digits(c: Column) -> Column:
     """The 32 hexadecimal digits of a key, upper case; null if the value is no reference (other count, or all zero)."""
-    h = F.upper(F.regexp_replace(c, "[^0-9A-Fa-f]", ""))
+    plain = F.translate(F.upper(c), "-{} ", "")  # the usual marks, without a regular expression
+    sound = (F.length(plain) == 32) & (F.length(F.translate(plain, "0123456789ABCDEF", "")) == 0)
+    h = F.when(sound, plain).otherwise(F.upper(F.regexp_replace(c, "[^0-9A-Fa-f]", "")))
     return F.when((F.length(h) == 32) & (h != "0" * 32), h)
 
 
@@ -43,7 +45,8 @@ def live_runs(parents: DataFrame, tombstones: DataFrame | None = None, hot_rows:
     parents: k_hi, k_lo, at (null: since ever); tombstones: k_hi, k_lo, at. A record is live from a row's arrival up to
     a later tombstone of its key (a tombstone at the same moment as a row does not end it).
     """
-    rows = parents.where(F.col("k_lo").isNotNull()).select(*KEY, F.coalesce("at", F.lit(-FOREVER)).alias("at")).groupBy(*KEY, "at").agg(F.lit(1).alias("born"))
+    rows = parents.select(*KEY, F.coalesce("at", F.lit(-FOREVER)).alias("at")).groupBy(*KEY, "at").agg(F.lit(1).alias("born"))
+    rows = materialize(rows, "births").where(F.col("k_lo").isNotNull())
     if tombstones is None:
         births = rows.groupBy(*KEY).agg(F.min("at").alias("at")).withColumn("until", F.lit(FOREVER))
     else:
@@ -71,7 +74,7 @@ def orphans(references: DataFrame, parents: DataFrame, tombstones: DataFrame | N
     reference an orphan. The references are swept once for each distinct key and moment and joined back,
     so that many rows of one key and moment are one.
     """
-    refs = references.where(F.col("k_lo").isNotNull() & F.col("at").isNotNull())
+    refs = materialize(references, "references").where(F.col("k_lo").isNotNull() & F.col("at").isNotNull())
     runs = live_runs(parents, tombstones, hot_rows)
     # At one place of order the run's start comes before the reference: a record of the same moment counts.
     starts = runs.select(*BLOCK, "k_lo", "at", F.lit(0).alias("kind"), "to_lo", "to_at")

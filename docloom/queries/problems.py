@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import incremental, nested, profile, references
@@ -22,6 +22,7 @@ OFFERS = "flat_offer_history"
 REFERENCES = ((PREMIUMS, "PolId", POLICIES, "PolId"), (POLICIES, "CustId", CUSTOMERS, "CustId"))
 #: Into so many batches at most a table's files are taken.
 BATCHES = 3
+NEVER = references.FOREVER
 ARRAYS = [("jsonObjValues", "nestedObjArray"), ("jsonObjValues", "nestedStrArray"), ("jsonArray",)]
 NUMBER = r"\A-?(?:[0-9]+(?:\.[0-9]{1,4})?|\.[0-9]{1,4})\z"
 RULES = {
@@ -35,18 +36,20 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def keyed(rows: DataFrame, key: str, at: Column, *also: Column) -> DataFrame:
+    """The integer halves of a key, a time, and further columns."""
+    return rows.select(references.hex_digits(F.col(key)).alias("h"), at.alias("at"), *also).select("*", *references.halves(F.col("h"))).drop("h")
+
+
 def orphan_rows(spark: SparkSession, sf: str) -> DataFrame:
     """table_name, field_name, row_id, at, k_hi, k_lo of every orphan of REFERENCES."""
     tombs = read_table(spark, sf, "record_tombstones")
     parts = []
     for table, field, to, key in REFERENCES:
-        digits = references.hex_digits(F.col(field))
-        refs = read_table(spark, sf, table).select(F.col("_id").alias("row_id"), digits.alias("h"), utc_micros(F.col("_dateUpdated")).alias("at"))
-        refs = refs.where(F.col("h").isNotNull()).select("row_id", "at", *references.halves(F.col("h")))
-        parents = read_table(spark, sf, to).select(references.hex_digits(F.col(key)).alias("h"), utc_micros(F.col("_dateUpdated")).alias("at"))
-        parents = parents.where(F.col("h").isNotNull() & F.col("at").isNotNull()).select("at", *references.halves(F.col("h")))
-        ended = tombs.where(F.col("collection_name") == to).select(references.hex_digits(F.col("record_key")).alias("h"), F.unix_micros(F.col("deleted_at").cast("timestamp")).alias("at"))
-        ended = ended.where(F.col("h").isNotNull()).select("at", *references.halves(F.col("h")))
+        refs = keyed(read_table(spark, sf, table), field, utc_micros(F.col("_dateUpdated")), F.col("_id").alias("row_id"))
+        # A row without readable arrival never came.
+        parents = keyed(read_table(spark, sf, to), key, F.coalesce(utc_micros(F.col("_dateUpdated")), F.lit(NEVER)))
+        ended = keyed(tombs.where(F.col("collection_name") == to), "record_key", F.unix_micros(F.col("deleted_at").cast("timestamp")))
         found = references.orphans(refs, parents, ended)
         parts.append(found.select(F.lit(table).alias("table_name"), F.lit(field).alias("field_name"), "row_id", "at", *references.KEY))
     return union(parts)
