@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import materialize, work_path
+from docloom.session import bounded_broadcast, materialize, work_path
 
 PLACE = ["file", "pos"]
 
@@ -67,16 +67,11 @@ def versions_by_arrival(rows: DataFrame, arrival: Column, cutoff: int | None) ->
     mixed = per_file.where("n_old > 0 and n_old < n_rows").select("file")
     never = placed.where(F.col("at").isNull())
     now = Manifest.write(spark, per_file, never)
-    hidden = placed.join(F.broadcast(mixed) if _small(per_file) else mixed, "file", "left_semi").where(~old)
+    hidden = placed.join(bounded_broadcast(mixed), "file", "left_semi").where(~old)
     then = Manifest.write(spark, per_file.where("n_old > 0"), hidden)
     return then, now
 
 
-def _small(files: DataFrame, most: int = 100_000) -> bool:
-    """Whether a list of files is short enough to broadcast."""
-    return files.limit(most + 1).count() <= most
-
-
 def record_delta(rows: DataFrame, old: Manifest | None, new: Manifest) -> tuple[DataFrame, DataFrame]:
     """Rows that `new` has and `old` has not, and places (file, pos) that `old` has and `new` has not.
 
@@ -95,13 +90,11 @@ def record_delta(rows: DataFrame, old: Manifest | None, new: Manifest) -> tuple[
         lost = vectors.join(old.vectors.hint("merge"), PLACE, "left_anti").join(old.files.select("file"), "file", "left_semi")
         all_lost = removed.join(old.vectors.groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file", "left").select("file", F.lit(None).cast("bigint").alias("pos"))
         gone = lost.unionByName(all_lost)
-    small = _small(files)
-    b = F.broadcast if small else (lambda x: x)
     placed = with_place(rows)
-    whole = placed.join(b(touched), "file", "left_semi").join(vectors.hint("merge"), PLACE, "left_anti")
+    whole = placed.join(bounded_broadcast(touched), "file", "left_semi").join(vectors.hint("merge"), PLACE, "left_anti")
     if exposed is None:
         return whole.drop(*PLACE), gone
-    some = placed.join(b(exposed.select("file").distinct()), "file", "left_semi").join(exposed.hint("merge"), PLACE, "left_semi")
+    some = placed.join(bounded_broadcast(exposed.select("file").distinct()), "file", "left_semi").join(exposed.hint("merge"), PLACE, "left_semi")
     return whole.unionByName(some).drop(*PLACE), gone
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "docloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -51,9 +52,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(path: str) -> str:
-    """A path as pyarrow's local reader wants it; other schemes stay as they are."""
-    return path[5:].replace("//", "", 1) if path.startswith("file:///") else path[5:] if path.startswith("file:") else path
+def bounded_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has at most `most` rows (they are counted), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def table_path(sf_dir: str, table: str) -> str:
