@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.session import materialize
+from docloom.session import bounded_broadcast, materialize
 
 #: Rows of a partition of the sorted order.
 PART_ROWS = 500_000
@@ -43,13 +43,13 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed
     most (a null counts as 1). The first document that would exceed the budget ends the mixture.
     """
     t = targets.where((F.col("target_share") > 0) & F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("most"))
-    docs = sizes.where(F.col("n_tokens") > 0).join(F.broadcast(t.limit(100_000)), "source")  # one row a source
+    docs = sizes.where(F.col("n_tokens") > 0).join(bounded_broadcast(t), "source")
     docs = docs.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens"), "share", "most", F.xxhash64(F.lit(seed), "doc_id").alias("shuffled"))
     docs = materialize(docs, "sized")
     if total is None:
         total = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()["t"]
     whole = docs.groupBy("source").agg(F.sum("n_tokens").alias("of_source"))
-    line = running_sum(docs, ["shuffled", "doc_id"], "n_tokens", "upto", ["source"]).join(F.broadcast(whole), "source")  # one row a source
+    line = running_sum(docs, ["shuffled", "doc_id"], "n_tokens", "upto", ["source"]).join(bounded_broadcast(whole), "source")
     finish = (F.col("repeat_no").cast("double") * F.col("of_source") + F.col("upto")) / F.col("share")
     # What ends beyond total / share can't lie within the budget: at least its source's own tokens come before it.
     passes = F.least(F.col("most"), F.ceil(F.lit(total) / F.col("of_source")).cast("int") + 1)

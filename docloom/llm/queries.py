@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import mixing, tokenizer
+from docloom.llm import mixing, mojibake, tokenizer
 from docloom.session import read_table
 
 
@@ -13,9 +13,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents")
-    counts = tokenizer.encode_column(docs.select("doc_id", "text"), "doc_id", "text", counts_only=True)
-    sizes = counts.join(docs.select("doc_id", "source"), "doc_id")
+    sizes = tokenizer.encode_column(read_table(spark, sf, "documents"), "doc_id", "text", counts_only=True, keep=["source"])
     return mixing.mixture(sizes, read_table(spark, sf, "mix_targets"))
 
 
@@ -27,4 +25,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixed(spark, sf), read_table(spark, sf, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares)}
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.restore_texts(read_table(spark, sf, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_restored(spark, sf).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}

@@ -166,27 +166,24 @@ def encoder(path: str | None) -> PairIndexEncoder:
     return _encoders[path]
 
 
-def encode_column(docs: DataFrame, key: str, text: str, path: str | None = None, counts_only: bool = False) -> DataFrame:
-    """key and ids (array of integers) of each text, or key and n_tokens (bigint).
+def encode_column(docs: DataFrame, key: str, text: str, path: str | None = None, counts_only: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """key and ids (array of integers) of each text, or key and n_tokens (bigint), and the columns `keep` as they are.
 
     Null and empty texts have the empty list (0). Text that looks like a special token is ordinary text. Repeated
-    rows stay repeated; an empty table gives none. Other columns of docs, whatever their names, are not read.
+    rows stay repeated; an empty table gives none. Columns of docs that aren't named are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    out = "__value"
-    src = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
+    names = [key, *(keep or [])]
+    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+    src = docs.select(docs[text].alias("text"), *[docs[c].alias(f"k{i}") for i, c in enumerate(names)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            keys, texts = b.column(0), b.column(1)
-            for lo, hi in stretches(texts.to_pylist()):
-                ids, offsets = enc.texts(texts.slice(lo, hi - lo).to_pylist())
-                if counts_only:
-                    value = pa.array(np.diff(offsets))
-                else:
-                    value = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), value], ["__key", out])
-
-    got = src.mapInArrow(work, f"__key {kind}, {out} " + ("bigint" if counts_only else "array<int>"))
-    return got.select(F.col("__key").alias(key), F.col(out).alias("n_tokens" if counts_only else "ids"))
+            for lo, hi in stretches(b.column(0).to_pylist()):
+                part = b.slice(lo, hi - lo)
+                ids, offsets = enc.texts(part.column(0).to_pylist())
+                value = pa.array(np.diff(offsets)) if counts_only else pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([value, *part.columns[1:]], ["value", *(f"k{i}" for i in range(len(names)))])
+
+    got = src.mapInArrow(work, f"value {'bigint' if counts_only else 'array<int>'}, {kinds}")
+    return got.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], F.col("value").alias("n_tokens" if counts_only else "ids"))
