@@ -102,6 +102,10 @@ def sum_array(ctx, args):
     return total(ctx.col(args[0]), element(ctx, args[0]), path_of(ctx, args))
 
 
+def field(name: str):
+    return lambda x: x[name]
+
+
 @register("avg_array", 1, None)
 def avg_array(ctx, args):
     """Mean of the values that aren't null, over a path of fields."""
@@ -110,7 +114,7 @@ def avg_array(ctx, args):
         f = next((f for f in kind.fields if f.name == p), None) if isinstance(kind, T.StructType) else None
         if f is None:
             raise StatementError(f"No field {p} to average")
-        a, kind = F.transform(a, lambda x, p=p: x[p]), f.dataType
+        a, kind = F.transform(a, field(p)), f.dataType
         if isinstance(kind, T.ArrayType):
             a, kind = F.flatten(F.filter(a, lambda x: x.isNotNull())), kind.elementType
     there = F.filter(a, lambda x: x.isNotNull())

@@ -165,19 +165,21 @@ def medians(numbers: DataFrame) -> DataFrame:
     """
     every = numbers.groupBy("v").agg(F.sum("n").alias("n")).select(F.lit(-1).cast("bigint").alias("load"), "v", "n")
     left = materialize(numbers.where(F.col("load").isNotNull()).groupBy("load", "v").agg(F.sum("n").alias("n")).unionByName(every), "numbers")
-    total = materialize(left.groupBy("load").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")), "totals")
+    total = left.groupBy("load").agg(F.sum("n").alias("total"))
     ranks = total.select("load", F.explode(F.array_distinct(F.array(F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1))).alias("rank"))
-    left = left.join(ranks, "load")
-    while left.groupBy("load", "rank").count().where(F.col("count") > FEW).limit(1).count():
-        span = left.groupBy("load", "rank").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        cut = left.join(span, ["load", "rank"])
-        width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / BINS
-        cut = cut.withColumn("bin", F.floor((F.col("v").cast("double") - F.col("lo").cast("double")) / width))
-        bins = cut.groupBy("load", "rank", "bin").agg(F.sum("n").alias("in_bin"))
-        upto = F.sum("in_bin").over(Window.partitionBy("load", "rank").orderBy("bin"))
+    # One problem for each load and rank sought; `rank` counts within what is left of it.
+    left = left.join(ranks, "load").withColumn("sought", F.col("rank"))
+    own = ["load", "sought"]
+    while left.groupBy(*own).count().where(F.col("count") > FEW).limit(1).count():
+        span = left.groupBy(*own).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        cut = left.join(span, own)
+        width = (F.col("hi") - F.col("lo")).cast("double") / BINS
+        cut = cut.withColumn("bin", F.floor((F.col("v") - F.col("lo")).cast("double") / width))
+        bins = cut.groupBy(*own, "rank", "bin").agg(F.sum("n").alias("in_bin"))
+        upto = F.sum("in_bin").over(Window.partitionBy(*own).orderBy("bin"))
         place = bins.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("in_bin") < F.col("rank")))
-        kept = cut.join(place, ["load", "rank", "bin"]).select("load", (F.col("rank") - F.col("upto") + F.col("in_bin")).alias("rank"), "v", "n")
+        kept = cut.join(place.drop("rank"), [*own, "bin"]).select(*own, (F.col("rank") - F.col("upto") + F.col("in_bin")).alias("rank"), "v", "n")
         left = materialize(kept, "narrowed")
-    upto = F.sum("n").over(Window.partitionBy("load", "rank").orderBy("v"))
+    upto = F.sum("n").over(Window.partitionBy(*own).orderBy("v"))
     hit = left.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
     return hit.groupBy("load").agg(F.avg("v").alias("median"))

@@ -105,7 +105,7 @@ def as_of(line: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def by_period(found: DataFrame, names: list[str], at: str = "at", unit: str = "month") -> DataFrame:
-    """Counts of orphans and of distinct missing keys for each table and period of arrival."""
-    period = F.to_date(F.date_trunc(unit, F.timestamp_micros(F.col(at))))
+    """Counts of orphans and of distinct missing keys for each table and period of arrival (its first day as text)."""
+    period = F.date_format(F.date_trunc(unit, F.timestamp_micros(F.col(at))), "yyyy-MM-dd")
     each = found.groupBy(*names, period.alias("period"), *KEY).agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy(*names, "period").agg(F.sum("n").alias("orphan_rows"), F.count(F.lit(1)).alias("missing_keys"))

@@ -28,6 +28,7 @@ class WideStore:
     def __init__(self, spark: SparkSession, fields: dict[str, str], path: str | None = None):
         self.spark, self.fields, self.path = spark, dict(fields), path or work_path(spark, "wide")
         self.runs: list[str] = []
+        self.written = 0
 
     def delta(self, rows: DataFrame) -> DataFrame:
         """The sparse delta of rows with entity, attribute, version (bigint), row_id, value (null clears)."""
@@ -36,9 +37,13 @@ class WideStore:
         known = rows.where(F.col("entity").isNotNull() & F.col("version").isNotNull() & F.col("attribute").isin(*self.fields))
         return known.groupBy("entity").agg(*cells)
 
+    def _next(self) -> str:
+        self.written += 1
+        return f"{self.path}/run-{self.written:05d}"
+
     def upsert(self, rows: DataFrame) -> None:
         """Append a batch as a new sorted run."""
-        run = f"{self.path}/run-{len(self.runs):05d}"
+        run = self._next()
         self.delta(rows).sortWithinPartitions("entity").write.parquet(run)
         self.runs.append(run)
 
@@ -54,7 +59,7 @@ class WideStore:
 
     def compact(self) -> DataFrame:
         """Replace the runs by one."""
-        run = f"{self.path}/run-{len(self.runs):05d}-compact"
+        run = self._next()
         self.cells().sortWithinPartitions("entity").write.parquet(run)
         self.runs = [run]
         return self.spark.read.parquet(run)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from docloom.operators import incremental, nested, profile, references
 from docloom.operators.history import Ledger
-from docloom.operators.instants import CANONICAL, InstantDictionary, canonical_micros, utc_micros
+from docloom.operators.instants import CANONICAL, utc_micros
 from docloom.operators.offers import dictionary_for, offer_fields, typed_events
 from docloom.operators.wide import WideStore
-from docloom.session import materialize, read_table, table_path
+from docloom.session import read_table, table_path
 
 POLICIES = "ams360_powerbi_basicpolinfo"
 PREMIUMS = "ams360_powerbi_policytranpremium"
@@ -169,4 +169,49 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_wide, p3_found, p3_objects, p4_found, p4_periods, p5_found, p5_summary, p6_found, p7_found)}
 
-__all__ = ["QUERIES", "InstantDictionary", "canonical_micros", "materialize"]
+#: SQL for those that SQL can express; see tests for the others.
+KEY_SQL = """CASE WHEN length(regexp_replace({0}, '[^0-9A-Fa-f]', '', 'g')) = 32 AND regexp_matches({0}, '[1-9A-Fa-f]') THEN upper(regexp_replace({0}, '[^0-9A-Fa-f]', '', 'g')) END"""
+UTC_SQL = "epoch_us(CAST(rtrim({0}, 'Z') AS TIMESTAMP))"
+
+
+def orphan_sql(table: str, field: str, to: str, key: str) -> str:
+    return f"""
+    SELECT '{table}' AS table_name, '{field}' AS field_name, c.i AS row_id, c.t AS t, c.k AS k FROM (SELECT _id AS i, {KEY_SQL.format(field)} AS k, {UTC_SQL.format("_dateUpdated")} AS t FROM {table}) c
+    WHERE c.k IS NOT NULL AND c.i NOT IN (
+      SELECT r.i FROM (SELECT _id AS i, {KEY_SQL.format(field)} AS k, {UTC_SQL.format("_dateUpdated")} AS t FROM {table}) r
+      JOIN (SELECT DISTINCT {KEY_SQL.format(key)} AS k, {UTC_SQL.format("_dateUpdated")} AS t FROM {to}) p ON p.k = r.k AND p.t <= r.t
+      WHERE NOT EXISTS (SELECT 1 FROM (SELECT {KEY_SQL.format("record_key")} AS k, epoch_us(deleted_at) AS t FROM record_tombstones WHERE collection_name = '{to}') d WHERE d.k = r.k AND d.t > p.t AND d.t <= r.t))"""
+
+
+ORPHANS = " UNION ALL ".join(orphan_sql(*x) for x in REFERENCES)
+
+
+def first_change_sql(table: str, key: str) -> str:
+    return f"""
+    SELECT '{table}' AS table_name, row_id FROM (
+      SELECT _id AS row_id, {UTC_SQL.format("_dateUpdated")} AS t, row_number() OVER (PARTITION BY {KEY_SQL.format(key)}, {UTC_SQL.format("ChangedDate")} ORDER BY {UTC_SQL.format("_dateUpdated")}, _id) AS n FROM {table})
+    WHERE n = 1 AND t >= (SELECT epoch_us(max(cutoff_at)) FROM sync_runs WHERE table_name = '{table}' AND run_state = 'succeeded')"""
+
+
+def breaking_sql(table: str, r: profile.Rule) -> str:
+    good = f"{r.column} IN ({', '.join(repr(c) for c in r.codes)})" if r.codes else f"regexp_full_match({r.column}, '-?(?:[0-9]+(?:\\.[0-9]{{1,4}})?|\\.[0-9]{{1,4}})')"
+    rows = f"(SELECT *, {r.column} AS v, ({r.column} IS NULL OR {r.column} IN ('', 'NULL')) AS missing, coalesce({good}, false) AND {r.column} NOT IN ('', 'NULL') AS ok FROM {table})"
+    head = f"SELECT '{table}' AS table_name, '{r.column}' AS column_name"
+    bad = f"{head}, 0::BIGINT AS load_no, _id AS row_id FROM {rows} WHERE NOT missing AND NOT ok"
+    apart = "avg(missing::INT) - (SELECT avg(missing::INT) FROM " + rows + ") >= 0.15"
+    if r.codes:
+        for c in r.codes:
+            share = f"count(*) FILTER (v = '{c}')::DOUBLE / greatest(count(*) FILTER (NOT missing), 1)"
+            apart += f" OR abs({share} - (SELECT {share} FROM {rows})) >= 0.15"
+    else:
+        med = "median(CASE WHEN ok THEN CAST(v AS DOUBLE) END)"
+        apart += f" OR {med} >= 5 * (SELECT {med} FROM {rows}) OR {med} * 5 <= (SELECT {med} FROM {rows})"
+    return f"{bad} UNION ALL {head}, load_no::BIGINT, '' FROM {rows} GROUP BY load_no HAVING count(*) >= 100 AND ({apart})"
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"SELECT table_name, field_name, row_id FROM ({ORPHANS})",
+    "p1_orphans_by_month": f"SELECT table_name, field_name, strftime(make_timestamp(t), '%Y-%m-01') AS period, count(*) AS orphan_rows, count(DISTINCT k) AS missing_keys FROM ({ORPHANS}) GROUP BY 1, 2, 3",
+    "p5_found": " UNION ALL ".join(breaking_sql(t, r) for t, rules in RULES.items() for r in rules),
+    "p6_found": " UNION ALL ".join(first_change_sql(t, k) for t, k in ((POLICIES, "PolId"), (PREMIUMS, "PolTPId"))),
+}
