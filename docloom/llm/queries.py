@@ -34,3 +34,4 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
+SQL: dict[str, str] = {}
