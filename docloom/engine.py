@@ -11,7 +11,7 @@ from docloom.functions import registry
 from docloom.plans import syntax as s
 from docloom.plans.lower import Lowering, aggregates_in, shape_of
 from docloom.plans.parser import parse
-from docloom.sources.catalog import Catalog
+from docloom.sources.catalog import Catalog, Table
 
 
 @dataclass(frozen=True)
@@ -32,11 +32,11 @@ class Options:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, folder: str | None = None, schemas: dict[str, T.StructType] | None = None, options: Options = Options()):
+    def __init__(self, spark: SparkSession, tables: dict[str, Table] | None = None, folder: str | None = None, schemas: dict[str, T.StructType] | None = None, options: Options = Options()):
         self.spark, self.options = spark, options
         self.catalog = Catalog(spark, tables, folder, schemas)
 
-    def register(self, name: str, df: DataFrame) -> None:
+    def register(self, name: str, df: Table) -> None:
         self.catalog.register(name, df)
 
     def parse(self, text: str) -> s.Select:

@@ -137,22 +137,29 @@ class Consumer:
         done = self.commits()
         return Manifest(self.spark, done[-1]["version"]) if done else None
 
-    def run(self, rows: DataFrame, new: Manifest, step: Callable[[DataFrame, DataFrame], DataFrame]) -> str:
-        """step(rows added or changed, places deleted) -> output; returns the folder of the output."""
-        done = self.commits()
-        added, gone = record_delta(rows, Manifest(self.spark, done[-1]["version"]) if done else None, new)
-        out = f"{self.path}/attempt-{uuid.uuid4().hex[:12]}"
-        step(added, gone).write.parquet(out)
-        text = json.dumps({"number": len(done) + 1, "version": new.path, "output": out})
-        target, draft = self._p(f"commits/{len(done) + 1:06d}.json"), self._p(f"drafts/{uuid.uuid4().hex}")
+    def adopt(self, version: Manifest) -> None:
+        """Commit a version as processed whose output lies elsewhere."""
+        self._commit(len(self.commits()) + 1, version, None)
+
+    def _commit(self, number: int, version: Manifest, out: str | None) -> None:
+        text = json.dumps({"number": number, "version": version.path, "output": out})
+        target, draft = self._p(f"commits/{number:06d}.json"), self._p(f"drafts/{uuid.uuid4().hex}")
         stream = self.fs.create(draft)
         stream.write(bytearray(text.encode()))
         stream.close()
         self.fs.mkdirs(self._p("commits"))
         if self.fs.exists(target) or not self.fs.rename(draft, target):
             raise RuntimeError("another run has committed")
+
+    def run(self, rows: DataFrame, new: Manifest, step: Callable[[DataFrame, DataFrame], DataFrame]) -> str:
+        """step(rows added or changed, places deleted) -> output; returns the folder of the output."""
+        done = self.commits()
+        added, gone = record_delta(rows, Manifest(self.spark, done[-1]["version"]) if done else None, new)
+        out = f"{self.path}/attempt-{uuid.uuid4().hex[:12]}"
+        step(added, gone).write.parquet(out)
+        self._commit(len(done) + 1, new, out)
         return out
 
     def output(self) -> DataFrame | None:
-        done = self.commits()
-        return self.spark.read.parquet(*[c["output"] for c in done]) if done else None
+        outs = [c["output"] for c in self.commits() if c["output"]]
+        return self.spark.read.parquet(*outs) if outs else None

@@ -65,6 +65,22 @@ class Profile:
         """Names of files, as many as the table has at most."""
         return [r.file for r in chunks.select("file").distinct().collect()]
 
+    def footers(self) -> DataFrame:
+        """For each column: rows, nulls, least and greatest text, distinct candidates, from footers and dictionaries alone.
+
+        A figure is null where a chunk of the column does not state it. Candidates are the entries of all dictionaries.
+        """
+        c = self.chunks
+        bare = F.col("n_nulls") == F.col("n_rows")
+        told = F.bool_and(F.coalesce(bare | F.col("min_value").isNotNull(), F.lit(False)))
+        bounds = c.groupBy("column_name").agg(
+            F.sum("n_rows").alias("n_rows"), F.when(F.bool_and(F.col("n_nulls").isNotNull()), F.sum("n_nulls")).alias("n_nulls"),
+            F.when(told, F.min("min_value")).alias("least"), F.when(told, F.max("max_value")).alias("greatest"), F.bool_and("complete").alias("complete"),
+        )
+        entries = c.select("column_name", F.explode("candidates").alias("x")).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+        out = bounds.join(entries, "column_name", "left")
+        return out.select("column_name", "n_rows", "n_nulls", "least", "greatest", F.when(F.col("complete"), F.coalesce("n", F.lit(0))).alias("n_candidates"))
+
     def counts(self) -> DataFrame:
         """column_name, load, value, n over all rows of the table."""
         if self._counts is None:

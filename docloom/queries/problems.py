@@ -12,7 +12,7 @@ from docloom.operators.history import Ledger
 from docloom.operators.instants import CANONICAL, utc_micros
 from docloom.operators.offers import dictionary_for, offer_fields, typed_events
 from docloom.operators.wide import WideStore
-from docloom.session import read_table, table_path
+from docloom.session import read_table, table_path, work_path
 
 POLICIES = "ams360_powerbi_basicpolinfo"
 PREMIUMS = "ams360_powerbi_policytranpremium"
@@ -139,6 +139,10 @@ def p5_summary(spark: SparkSession, sf: str) -> DataFrame:
     return union([profile.Profile(spark, table_path(sf, t), rules).summary().select(F.lit(t).alias("table_name"), "*") for t, rules in RULES.items()])
 
 
+def p5_footers(spark: SparkSession, sf: str) -> DataFrame:
+    return union([profile.Profile(spark, table_path(sf, t), rules).footers().select(F.lit(t).alias("table_name"), "*") for t, rules in RULES.items()])
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     runs = read_table(spark, sf, "sync_runs")
     parts = []
@@ -146,12 +150,18 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
         last = runs.where((F.col("table_name") == table) & (F.col("run_state") == "succeeded")).agg(F.unix_micros(F.max("cutoff_at").cast("timestamp")).alias("c")).first()["c"]
         rows = read_table(spark, sf, table)
         then, now = incremental.versions_by_arrival(rows, utc_micros(F.col("_dateUpdated")), last)
-        k = F.coalesce(references.hex_digits(F.col(key)), F.trim(key)).alias("key")
-        change = [k, utc_micros(F.col("ChangedDate")).alias("changed")]
-        added, _ = incremental.record_delta(rows, then, now)
-        new = added.select(*change, utc_micros(F.col("_dateUpdated")).alias("at"), F.col("_id").alias("row_id"))
+        key_of = F.coalesce(references.hex_digits(F.col(key)), F.trim(key)).alias("key")
+        change = [key_of, utc_micros(F.col("ChangedDate")).alias("changed")]
         seen = rows.where(utc_micros(F.col("_dateUpdated")) < F.lit(last)).select(*change)
-        got = incremental.first_of_change(new, seen, ["key", "changed"], ["at", "row_id"])
+
+        def step(added: DataFrame, gone: DataFrame, change=change, seen=seen) -> DataFrame:
+            new = added.select(*change, utc_micros(F.col("_dateUpdated")).alias("at"), F.col("_id").alias("row_id"))
+            return incremental.first_of_change(new, seen, ["key", "changed"], ["at", "row_id"])
+
+        consumer = incremental.Consumer(spark, work_path(spark, "consumer"))
+        consumer.adopt(then)
+        consumer.run(rows, now, step)
+        got = consumer.output()
         parts.append(got.select(F.lit(table).alias("table_name"), "row_id"))
     return union(parts)
 
@@ -167,7 +177,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return d.match(rows, "raw", "feed_code").where(F.col("utc_micros").isNotNull()).drop("raw", "feed_code")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_wide, p3_found, p3_objects, p4_found, p4_periods, p5_found, p5_summary, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_wide, p3_found, p3_objects, p4_found, p4_periods, p5_found, p5_summary, p5_footers, p6_found, p7_found)}
 
 #: SQL for those that SQL can express; see tests for the others.
 KEY_SQL = """CASE WHEN length(regexp_replace({0}, '[^0-9A-Fa-f]', '', 'g')) = 32 AND regexp_matches({0}, '[1-9A-Fa-f]') THEN upper(regexp_replace({0}, '[^0-9A-Fa-f]', '', 'g')) END"""
@@ -213,5 +223,6 @@ SQL: dict[str, str] = {
     "p1_found": f"SELECT table_name, field_name, row_id FROM ({ORPHANS})",
     "p1_orphans_by_month": f"SELECT table_name, field_name, strftime(make_timestamp(t), '%Y-%m-01') AS period, count(*) AS orphan_rows, count(DISTINCT k) AS missing_keys FROM ({ORPHANS}) GROUP BY 1, 2, 3",
     "p5_found": " UNION ALL ".join(breaking_sql(t, r) for t, rules in RULES.items() for r in rules),
+    "p5_footers": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{r.column}' AS column_name, count(*) AS n_rows, count(*) - count({r.column}) AS n_nulls, min({r.column}) AS least, max({r.column}) AS greatest, count(DISTINCT {r.column}) AS n_candidates FROM {t}" for t, rules in RULES.items() for r in rules),
     "p6_found": " UNION ALL ".join(first_change_sql(t, k) for t, k in ((POLICIES, "PolId"), (PREMIUMS, "PolTPId"))),
 }

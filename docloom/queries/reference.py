@@ -22,11 +22,19 @@ def engine(spark: SparkSession, sf: str) -> Engine:
     """The tables of a folder, and two with nested fields: orders with their lines, customers with an address."""
     e = Engine(spark, folder=sf)
     t = e.catalog.table
-    line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    e.register("orders_nested", t("orders").join(lines, "o_orderkey", "left"))
-    place = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).alias("address"))
-    e.register("customer_nested", t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "c_acctbal", "address"))
+
+    def orders() -> DataFrame:
+        line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
+        lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+        return t("orders").join(lines, "o_orderkey", "left")
+
+    def customers() -> DataFrame:
+        place = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region has five rows
+        place = place.select("n_nationkey", F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).alias("address"))
+        return t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "c_acctbal", "address")
+
+    e.register("orders_nested", orders)
+    e.register("customer_nested", customers)
     return e
 
 

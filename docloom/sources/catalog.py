@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 from docloom.errors import TableDoesNotExistError
 
+#: A table, or what makes it when it is first used.
+Table = DataFrame | Callable[[], DataFrame]
 FORMATS = ("parquet", "json", "orc", "csv", "avro")
 
 
@@ -19,12 +22,18 @@ class Catalog:
     A file or folder `name.format` is read as that format. Timestamps without zone are UTC.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, folder: str | None = None, schemas: dict[str, T.StructType] | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, Table] | None = None, folder: str | None = None, schemas: dict[str, T.StructType] | None = None):
         self.spark, self.tables, self.folder, self.schemas = spark, dict(tables or {}), folder, dict(schemas or {})
 
-    def register(self, name: str, df: DataFrame) -> None:
+    def register(self, name: str, df: Table) -> None:
         self.tables[name] = df
 
+    def _given(self, name: str) -> DataFrame:
+        df = self.tables[name]
+        if not isinstance(df, DataFrame):
+            df = self.tables[name] = df()
+        return df
+
     def __contains__(self, name: str) -> bool:
         return name in self.tables or self._file(name) is not None or (name.replace("_", "").isalnum() and self.spark.catalog.tableExists(name))
 
@@ -49,11 +58,11 @@ class Catalog:
 
     def table(self, name: str) -> DataFrame:
         if name in self.tables:
-            df = self.tables[name]
+            df = self._given(name)
         elif found := self._file(name):
             df = self.read(*found, name)
         elif "." in name and name.split(".", 1)[1] in self.tables:
-            df = self.tables[name.split(".", 1)[1]]
+            df = self._given(name.split(".", 1)[1])
         elif name.replace("_", "").isalnum() and self.spark.catalog.tableExists(name):
             df = self.spark.table(name)
         else:
