@@ -43,7 +43,7 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed
     most (a null counts as 1). The first document that would exceed the budget ends the mixture.
     """
     t = targets.where((F.col("target_share") > 0) & F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("most"))
-    docs = sizes.where(F.col("n_tokens") > 0).join(bounded_broadcast(t), "source")
+    docs = sizes.select("doc_id", "source", "n_tokens").where(F.col("n_tokens") > 0).join(bounded_broadcast(t), "source")
     docs = docs.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens"), "share", "most", F.xxhash64(F.lit(seed), "doc_id").alias("shuffled"))
     docs = materialize(docs, "sized")
     if total is None:

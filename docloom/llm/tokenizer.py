@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import spread
+
 #: Where the vocabulary files lie, unless a path is given.
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 DEFAULT = "byte_bpe_50k.json"
@@ -185,5 +187,5 @@ def encode_column(docs: DataFrame, key: str, text: str, path: str | None = None,
                 value = pa.array(np.diff(offsets)) if counts_only else pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([value, *part.columns[1:]], ["value", *(f"k{i}" for i in range(len(names)))])
 
-    got = src.mapInArrow(work, f"value {'bigint' if counts_only else 'array<int>'}, {kinds}")
+    got = spread(src).mapInArrow(work, f"value {'bigint' if counts_only else 'array<int>'}, {kinds}")
     return got.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], F.col("value").alias("n_tokens" if counts_only else "ids"))
