@@ -10,15 +10,15 @@ ROW = "__row"
 MARK = "__order"
 
 
-def by_keys(left: DataFrame, left_keys: list[Column], right: DataFrame, right_keys: list[Column], side: str, how: str, mode: str) -> DataFrame:
-    """left with the rows of right of equal keys in column `side`.
+def by_keys(left: DataFrame, left_keys: list[Column], right: DataFrame, right_keys: list[Column], side: str, how: str, mode: str, fields: list[str]) -> DataFrame:
+    """left with the rows of right of equal keys in column `side`, of which the columns `fields` are kept.
 
     The right side is reduced by key before it is joined, so that left rows are neither multiplied nor regrouped. how:
     inner or left, and full for unwind. A null key matches nothing. Without matches a left join has an empty array
     (nest) or null. First and last are those of the order in which right is read.
     """
     names = [f"__k{i}" for i in range(len(right_keys))]
-    keyed = right.select(*[k.alias(n) for k, n in zip(right_keys, names)], F.struct("*").alias(side), *([F.monotonically_increasing_id().alias(MARK)] if mode in (FIRST, LAST) else []))
+    keyed = right.select(*[k.alias(n) for k, n in zip(right_keys, names)], F.struct(*fields).alias(side), *([F.monotonically_increasing_id().alias(MARK)] if mode in (FIRST, LAST) else []))
     if mode == NEST:
         keyed = keyed.groupBy(*names).agg(F.collect_list(side).alias(side))
     elif mode in (FIRST, LAST):
@@ -33,12 +33,12 @@ def by_keys(left: DataFrame, left_keys: list[Column], right: DataFrame, right_ke
     return out
 
 
-def by_condition(left: DataFrame, right: DataFrame, condition: Column, side: str, how: str, mode: str) -> DataFrame:
+def by_condition(left: DataFrame, right: DataFrame, condition: Column, side: str, how: str, mode: str, fields: list[str]) -> DataFrame:
     """The same for any condition, in which the right row is the struct column `side`.
 
     Rows of left are numbered, joined by whatever way the condition allows, and put together again by their number.
     """
-    r = right.select(F.struct("*").alias(side))
+    r = right.select(F.struct(*fields).alias(side))
     if mode == UNWIND:
         return left.join(r, condition, how)
     numbered = left.withColumn(ROW, F.monotonically_increasing_id())

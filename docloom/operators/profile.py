@@ -151,8 +151,10 @@ class Profile:
         sums = [F.sum(n).alias("rows"), F.sum(F.when(r.is_missing(v), n).otherwise(0)).alias("missing")]
         sums += [F.sum(F.when(v == code, n).otherwise(0)).alias(f"c{i}") for i, code in enumerate(r.codes)]
         each = c.where(F.col("load").isNotNull()).groupBy("load").agg(*sums)
-        whole = c.agg(*[s.alias(f"all_{name}") for s, name in zip(sums, ["rows", "missing", *[f"c{i}" for i in range(len(r.codes))]])])
-        both = each.where(F.col("rows") >= limits.rows).crossJoin(F.broadcast(whole))  # whole is one row
+        total = c.agg(*sums).first()  # one row
+        for name in ("rows", "missing", *[f"c{i}" for i in range(len(r.codes))]):
+            each = each.withColumn(f"all_{name}", F.lit(total[name]))
+        both = each.where(F.col("rows") >= limits.rows)
         differs = (big("missing") * big("all_rows") - big("all_missing") * big("rows")) * 100 >= big("rows") * big("all_rows") * limits.missing_percent
         there, all_there = big("rows") - big("missing"), big("all_rows") - big("all_missing")
         for i in range(len(r.codes)):
@@ -160,18 +162,18 @@ class Profile:
             differs = differs | ((there > 0) & (gap >= there * all_there * limits.code_percent))
         if r.number:
             numbers = c.where(~r.is_missing(v) & r.well_formed(v)).select("load", as_number(v).alias("v"), "n")
-            m = medians(numbers)
-            total = m.where("load = -1").select(F.col("median").alias("all_median"))
-            both = both.join(m.where("load >= 0"), "load", "left").join(F.broadcast(total), how="left")  # one row
+            m = materialize(medians(numbers), "medians")
+            middle = m.where("load = -1").first()
+            both = both.join(m.where("load >= 0"), "load", "left").withColumn("all_median", F.lit(middle["median"] if middle else None).cast("decimal(38,6)"))
             k = limits.median_factor
             differs = differs | F.coalesce((F.col("median") >= F.col("all_median") * k) | (F.col("median") * k <= F.col("all_median")), F.lit(False))
         return both.where(differs)
 
 
 def as_number(c: Column) -> Column:
-    """decimal(38,4) of well-formed digits; more than 34 digits before the point count as the greatest such number."""
-    far = F.when(c.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(38,4)") * F.lit("1" + "0" * 33).cast("decimal(38,0)")
-    return F.coalesce(c.try_cast("decimal(38,4)"), far.cast("decimal(38,4)"))
+    """decimal(38,4) of well-formed digits; beyond 26 digits before the point, the 10^26 of its sign."""
+    far = F.when(c.startswith("-"), F.lit("-1" + "0" * 26)).otherwise(F.lit("1" + "0" * 26))
+    return F.coalesce(c.try_cast("decimal(30,4)").cast("decimal(38,4)"), far.cast("decimal(38,4)"))
 
 
 def medians(numbers: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from docloom.session import materialize
 HOT_ROWS = 1_000_000
 #: Sampled places of order for each stretch of hot_rows rows.
 SAMPLES = 50
+#: Chunks of a group at most, as every row is held against its group's cuts; a chunk grows with the group beyond that.
+CHUNKS = 256
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
@@ -26,9 +28,9 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | Non
 
 def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, hot_rows: int) -> DataFrame:
     """df with __chunk (0, 1, ... in the order of a group; null in groups that aren't cut)."""
-    step = max(1, hot_rows // SAMPLES)
+    step = F.greatest(F.lit(max(1, hot_rows // SAMPLES)), F.floor(F.col("__n") / (CHUNKS * SAMPLES)))
     place = F.struct(*order)
-    some = df.join(hot.select(*keys), keys, "left_semi").where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
+    some = df.join(hot, keys).where(F.pmod(F.xxhash64(*order), step) == 0)
     cuts = some.groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("__s"))
     cuts = cuts.select(*keys, F.filter("__s", lambda x, i: i % SAMPLES == 0).alias("__cuts"))
     cuts = materialize(cuts, "cuts")

@@ -159,11 +159,35 @@ class Lowering:
         names = tuple(x for x in (first.alias, None if first.alias else first.name) if x)
         scope = Scope(df, names, tuple(df.columns))
         for src in q.sources[1:]:
-            scope = self.join(scope, src)
+            scope = self.join(scope, src, q)
         return scope
 
-    def join(self, scope: Scope, src: s.Source) -> Scope:
+    @staticmethod
+    def needed(q: s.Select, src: s.Source, columns: list[str]) -> list[str]:
+        """The columns of a joined side that a statement may use; gathered rows are not pruned by the optimizer.
+
+        All, if a star or the side as a whole is used other than to be counted or summed; else those whose name occurs.
+        """
+        names, counted = {x for x in (src.alias, src.name) if x}, set()
+        for n in s.deep(q):
+            if isinstance(n, s.Call) and n.name in ("size_of_array", "sum_array", "avg_array", "count") and n.args:
+                counted.add(id(n.args[0]))
+        said: set[str] = set()
+        for n in s.deep(q):
+            if isinstance(n, s.Star) and id(n) not in counted and (n.table is None or n.table in names):
+                return columns
+            if isinstance(n, s.Name):
+                if n.parts[-1] in names and id(n) not in counted:
+                    return columns
+                said.update(p for part in n.parts for p in (part.lower(), *part.lower().split(".")))
+            if isinstance(n, s.Literal) and isinstance(n.value, str):
+                said.update((n.value.lower(), *n.value.lower().split(".")))
+        return [c for c in columns if c.lower() in said] or columns[:1]
+
+    def join(self, scope: Scope, src: s.Source, q: s.Select) -> Scope:
         right = self.source(src)
+        kept = self.needed(q, src, right.columns)
+        fields = ["`" + c.replace("`", "``") + "`" for c in kept]
         label = src.label
         side = f"__side_{len(scope.joined)}_{label}"
         flags = {h.lower() for h in src.hints}
@@ -175,13 +199,14 @@ class Lowering:
         here = Compiler(scope, self.options)
         pairs = [self.equal_sides(c, here, there, names) for c in conjuncts(src.on)]
         if pairs and all(pairs):
-            df = joins.by_keys(scope.df, [here.col(a) for a, _ in pairs], right, [there.col(b) for _, b in pairs], side, src.join, mode)
+            df = joins.by_keys(scope.df, [here.col(a) for a, _ in pairs], right, [there.col(b) for _, b in pairs], side, src.join, mode, fields)
         else:
             if src.join == "full":
                 raise StatementError("Join not supported: FULL JOIN needs equality of columns")
-            probe = scope.df.select("*", F.lit(None).cast(T.StructType(right.schema.fields)).alias(side))
+            kind = T.StructType([right.schema[c] for c in kept])
+            probe = scope.df.select("*", F.lit(None).cast(kind).alias(side))
             on = Compiler(replace(scope, df=probe, joined=scope.joined | {n: side for n in names}), self.options).truth(src.on)
-            df = joins.by_condition(scope.df, right, on, side, src.join, mode)
+            df = joins.by_condition(scope.df, right, on, side, src.join, mode, fields)
         return replace(scope, df=df, joined=scope.joined | {label: side})
 
     @staticmethod
@@ -361,7 +386,8 @@ class Lowering:
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*groups).orderBy(side))).where(F.col("__n") <= n) if groups else rows.orderBy(side).limit(n)
         got = rows.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("__at", "__v"))).alias("__l")).select(*groups, F.transform("__l", lambda x: x["__v"]).alias(name))
         if not groups:
-            return out.crossJoin(got).drop("__one")  # one row each
+            one = F.lit(1).alias("__only")
+            return out.select("*", one).join(got.select("*", one), "__only").drop("__only", "__one")  # one row each
         return out.join(got, [quoted(k).eqNullSafe(F.col(g)) for k, g in zip(keys, groups)]).drop(*groups)
 
     def projected(self, q: s.Select, scope: Scope) -> tuple[DataFrame, list]:

@@ -161,3 +161,15 @@ def walk(node: Any):
     elif isinstance(node, tuple | list):
         for v in node:
             yield from walk(v)
+
+
+def deep(node: Any):
+    """All nodes of a tree, those of sub-queries included."""
+    if isinstance(node, Node):
+        yield node
+    if isinstance(node, Node | Item | Source):
+        for v in vars(node).values():
+            yield from deep(v)
+    elif isinstance(node, tuple | list):
+        for v in node:
+            yield from deep(v)

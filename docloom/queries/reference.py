@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.engine import Engine
+from docloom.session import bounded_broadcast
 
 #: name -> (statement, the same in SQL or None)
 STATEMENTS: dict[str, tuple[str, str | None]] = {}
@@ -29,7 +30,7 @@ def engine(spark: SparkSession, sf: str) -> Engine:
         return t("orders").join(lines, "o_orderkey", "left")
 
     def customers() -> DataFrame:
-        place = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region has five rows
+        place = t("nation").join(bounded_broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
         place = place.select("n_nationkey", F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).alias("address"))
         return t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "c_acctbal", "address")
 

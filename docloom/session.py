@@ -44,6 +44,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete what operators have written to the shared folder; results that weren't saved can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -67,5 +73,12 @@ def table_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 
 
+def in_utc(spark: SparkSession) -> None:
+    """Timestamps without zone are UTC throughout."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    in_utc(spark)
     return spark.read.parquet(table_path(sf_dir, table))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.errors import TableDoesNotExistError
+from docloom.session import in_utc
 
 #: A table, or what makes it when it is first used.
 Table = DataFrame | Callable[[], DataFrame]
@@ -23,6 +24,7 @@ class Catalog:
     """
 
     def __init__(self, spark: SparkSession, tables: dict[str, Table] | None = None, folder: str | None = None, schemas: dict[str, T.StructType] | None = None):
+        in_utc(spark)
         self.spark, self.tables, self.folder, self.schemas = spark, dict(tables or {}), folder, dict(schemas or {})
 
     def register(self, name: str, df: Table) -> None:

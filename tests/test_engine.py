@@ -223,3 +223,12 @@ def test_statement_on_a_stream(spark, tmp_path):
     q = w.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cw").start()
     q.awaitTermination()
     assert spark.table("w").groupBy().sum("n").first()[0] == 20
+
+
+def test_joined_sides_hold_only_what_is_used(spark, data, engine):
+    kind = lambda text: engine.sql(text).select("v").schema["v"].dataType.simpleString()
+    assert kind("SELECT id, SIZE_OF_ARRAY(v) AS n, v.instock AS s, FIRST_IN_ARRAY(v) AS v FROM orders INNER JOIN inventory v ON v.sku = item") == "struct<id:int,sku:string,instock:int>"
+    plan = Engine(spark, folder=data).explain("SELECT o.o_orderkey AS i, SUM_ARRAY(v, 'l_quantity') AS n FROM orders o INNER JOIN lineitem v ON v.l_orderkey = o.o_orderkey")
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+    got = engine.sql("SELECT o.id AS i, (SELECT instock AS `$$ROOT` FROM v WHERE sku = 'almonds') AS s FROM orders o INNER JOIN inventory v ON v.sku = o.item ORDER BY i")
+    assert rows(got) == [(1, [120]), (2, []), (3, [120]), (4, [120])]

@@ -236,6 +236,14 @@ def test_medians_that_need_narrowing(spark, monkeypatch):
         assert got[k] == statistics.median([x for load, x, n in rows for _ in range(n) if k in (-1, load)])
 
 
+def test_numbers_of_any_length(spark):
+    texts = ["9" * 10_000, "-" + "9" * 40, ".5", "12.3456", "0"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").select(profile.as_number(F.col("v")).alias("n"), F.lit(1).cast("bigint").alias("load"))
+    assert [float(r.n) for r in df.collect()] == [1e26, -1e26, 0.5, 12.3456, 0.0]
+    got = profile.medians(df.select("load", F.col("n").alias("v"), F.lit(1).cast("bigint").alias("n"))).collect()
+    assert {r.load: float(r.median) for r in got} == {1: 0.5, -1: 0.5}
+
+
 def test_profile_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "_id string, load_no int, code string").coalesce(1).write.parquet(f"file://{tmp_path}/e")
     p = profile.Profile(spark, f"file://{tmp_path}/e", [profile.Rule("code", codes=("A",))])
