@@ -12,6 +12,7 @@ from docloom.operators.history import Ledger
 from docloom.operators.instants import CANONICAL, utc_micros
 from docloom.operators.offers import dictionary_for, offer_fields, typed_events
 from docloom.operators.wide import WideStore
+from docloom.queries import instants_sql
 from docloom.session import read_table, table_path, work_path
 
 POLICIES = "ams360_powerbi_basicpolinfo"
@@ -219,7 +220,29 @@ def breaking_sql(table: str, r: profile.Rule) -> str:
     return f"{bad} UNION ALL {head}, load_no::BIGINT, '' FROM {rows} GROUP BY load_no HAVING count(*) >= 100 AND ({apart})"
 
 
+CONTAINER_SQL = """CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({0}, '$')) THEN CASE WHEN json_type(json_extract_string({0}, '$')) IN ('OBJECT', 'ARRAY') THEN json_extract_string({0}, '$')::JSON ELSE {0} END ELSE {0} END ELSE {0} END"""
+CHILDREN_SQL = f"""
+WITH texts AS (SELECT _id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM function_test_raw),
+roots AS (SELECT _id, {CONTAINER_SQL.format("j")} AS j FROM texts WHERE j IS NOT NULL),
+objects AS (SELECT _id, j, {CONTAINER_SQL.format("json_extract(j, '$.jsonObjValues')")} AS o FROM roots),
+places AS (
+  SELECT _id, 'jsonObjValues.nestedObjArray' AS array_path, json_extract(o, '$.nestedObjArray') AS a FROM objects
+  UNION ALL SELECT _id, 'jsonObjValues.nestedStrArray', json_extract(o, '$.nestedStrArray') FROM objects
+  UNION ALL SELECT _id, 'jsonArray', json_extract(j, '$.jsonArray') FROM objects),
+arrays AS (SELECT _id, array_path, {CONTAINER_SQL.format("a")} AS a FROM places WHERE a IS NOT NULL),
+lists AS (SELECT _id, array_path, CASE json_type(a) WHEN 'ARRAY' THEN json_extract(a, '$[*]') WHEN 'OBJECT' THEN [a] WHEN 'VARCHAR' THEN [a] ELSE [] END AS l FROM arrays),
+each_raw AS (SELECT _id, array_path, unnest(range(len(l))) AS pos, unnest(l) AS e FROM lists),
+typed AS (
+  SELECT _id, 'jsonObjValues.nestedObjArray' AS array_path, unnest(range(len(jsonObjValues.nestedObjArray))) AS pos, unnest(jsonObjValues.nestedObjArray) IS NOT NULL AS there FROM function_test_data
+  UNION ALL SELECT _id, 'jsonObjValues.nestedStrArray', unnest(range(len(jsonObjValues.nestedStrArray))), unnest(jsonObjValues.nestedStrArray) IS NOT NULL FROM function_test_data
+  UNION ALL SELECT _id, 'jsonArray', unnest(range(len(jsonArray))), unnest(jsonArray) IS NOT NULL FROM function_test_data)
+SELECT 'function_test_raw' AS table_name, _id AS row_id, array_path, pos FROM each_raw WHERE json_type(e) <> 'NULL'
+UNION ALL SELECT 'function_test_data', _id, array_path, pos FROM typed WHERE there"""
 SQL: dict[str, str] = {
+    "p2_found": instants_sql.CELLS,
+    "p3_found": CHILDREN_SQL,
+    "p4_found": instants_sql.PERIODS,
+    "p7_found": instants_sql.normalised(INSTANTS),
     "p1_found": f"SELECT table_name, field_name, row_id FROM ({ORPHANS})",
     "p1_orphans_by_month": f"SELECT table_name, field_name, strftime(make_timestamp(t), '%Y-%m-01') AS period, count(*) AS orphan_rows, count(DISTINCT k) AS missing_keys FROM ({ORPHANS}) GROUP BY 1, 2, 3",
     "p5_found": " UNION ALL ".join(breaking_sql(t, r) for t, rules in RULES.items() for r in rules),
