@@ -156,7 +156,11 @@ def chunk_statistics(spark: SparkSession, files: list[str], columns: list[str],
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for f in b["file"]:
-                yield pd.DataFrame(read_footer(f, columns, group), columns=names)
+                try:
+                    rows = read_footer(f, columns, group)
+                except (OSError, ValueError, NotImplementedError, pa.ArrowException):  # a store that pyarrow can't open: nothing is known
+                    rows = [(f, 0, c, None, None, None, None, False, [], None, None) for c in columns]
+                yield pd.DataFrame(rows, columns=names)
 
     n = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
     return spark.createDataFrame([(f,) for f in files] or [], "file string").repartition(n, F.col("file")).mapInPandas(read, CHUNK)

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from docloom.session import bounded_broadcast, materialize, work_path
 
-PLACE = ["file", "pos"]
+PLACE = ["__file", "__pos"]
 
 
 def with_place(df: DataFrame) -> DataFrame:
     """Rows with the file they lie in and their position there."""
-    return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"))
+    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
 
 
 class Manifest:
@@ -38,17 +38,17 @@ class Manifest:
     def write(cls, spark: SparkSession, files: DataFrame, vectors: DataFrame, path: str | None = None) -> Manifest:
         """files: file, n_rows; vectors: file, pos of the rows that are left out."""
         m = cls(spark, path or work_path(spark, "manifest"))
-        files.select("file", "n_rows").write.parquet(f"{m.path}/files")
+        files.select("__file", "n_rows").write.parquet(f"{m.path}/files")
         vectors.select(*PLACE).write.parquet(f"{m.path}/vectors")
         return m
 
     @property
     def files(self) -> DataFrame:
-        return self.spark.read.schema("file string, n_rows bigint").parquet(f"{self.path}/files")
+        return self.spark.read.schema("__file string, n_rows bigint").parquet(f"{self.path}/files")
 
     @property
     def vectors(self) -> DataFrame:
-        return self.spark.read.schema("file string, pos bigint").parquet(f"{self.path}/vectors")
+        return self.spark.read.schema("__file string, __pos bigint").parquet(f"{self.path}/vectors")
 
     def empty(self) -> bool:
         return self.files.isEmpty()
@@ -63,11 +63,11 @@ def versions_by_arrival(rows: DataFrame, arrival: Column, cutoff: int | None) ->
     spark = rows.sparkSession
     placed = with_place(rows).select(*PLACE, arrival.alias("at"))
     old = F.coalesce(F.col("at") < F.lit(cutoff), F.lit(False)) if cutoff is not None else F.lit(False)
-    per_file = materialize(placed.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(old).alias("n_old"), F.count_if(F.col("at").isNull()).alias("n_none")), "files")
-    mixed = per_file.where("n_old > 0 and n_old < n_rows").select("file")
+    per_file = materialize(placed.groupBy("__file").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(old).alias("n_old"), F.count_if(F.col("at").isNull()).alias("n_none")), "files")
+    mixed = per_file.where("n_old > 0 and n_old < n_rows").select("__file")
     never = placed.where(F.col("at").isNull())
     now = Manifest.write(spark, per_file, never)
-    hidden = placed.join(bounded_broadcast(mixed), "file", "left_semi").where(~old)
+    hidden = placed.join(bounded_broadcast(mixed), "__file", "left_semi").where(~old)
     then = Manifest.write(spark, per_file.where("n_old > 0"), hidden)
     return then, now
 
@@ -81,20 +81,20 @@ def record_delta(rows: DataFrame, old: Manifest | None, new: Manifest) -> tuple[
     files, vectors = new.files, new.vectors
     if old is None:
         gone = vectors.limit(0)
-        touched, exposed = files.select("file"), None
+        touched, exposed = files.select("__file"), None
     else:
-        added = files.join(old.files, "file", "left_anti").select("file")
-        exposed = old.vectors.join(vectors.hint("merge"), PLACE, "left_anti").join(files.select("file"), "file", "left_semi")
+        added = files.join(old.files, "__file", "left_anti").select("__file")
+        exposed = old.vectors.join(vectors.hint("merge"), PLACE, "left_anti").join(files.select("__file"), "__file", "left_semi")
         touched = added
-        removed = old.files.join(files, "file", "left_anti").select("file")
-        lost = vectors.join(old.vectors.hint("merge"), PLACE, "left_anti").join(old.files.select("file"), "file", "left_semi")
-        all_lost = removed.join(old.vectors.groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file", "left").select("file", F.lit(None).cast("bigint").alias("pos"))
+        removed = old.files.join(files, "__file", "left_anti").select("__file")
+        lost = vectors.join(old.vectors.hint("merge"), PLACE, "left_anti").join(old.files.select("__file"), "__file", "left_semi")
+        all_lost = removed.join(old.vectors.groupBy("__file").agg(F.count(F.lit(1)).alias("n")), "__file", "left").select("__file", F.lit(None).cast("bigint").alias("__pos"))
         gone = lost.unionByName(all_lost)
     placed = with_place(rows)
-    whole = placed.join(bounded_broadcast(touched), "file", "left_semi").join(vectors.hint("merge"), PLACE, "left_anti")
+    whole = placed.join(bounded_broadcast(touched), "__file", "left_semi").join(vectors.hint("merge"), PLACE, "left_anti")
     if exposed is None:
         return whole.drop(*PLACE), gone
-    some = placed.join(bounded_broadcast(exposed.select("file").distinct()), "file", "left_semi").join(exposed.hint("merge"), PLACE, "left_semi")
+    some = placed.join(bounded_broadcast(exposed.select("__file").distinct()), "__file", "left_semi").join(exposed.hint("merge"), PLACE, "left_semi")
     return whole.unionByName(some).drop(*PLACE), gone
 
 

@@ -58,6 +58,7 @@ class Profile:
         self.spark, self.path, self.rules, self.load = spark, path, rules, load
         self.rows = spark.read.parquet(path)
         self.files = sorted(self.rows.inputFiles())
+        self._base = {"basePath": path} if len(self.files) > 1 else {}  # keeps columns that are folders
         self.chunks = materialize(chunk_statistics(spark, self.files, [r.column for r in rules], load), "chunks")
         self._counts: DataFrame | None = None
 
@@ -96,7 +97,7 @@ class Profile:
             for columns, files in scans.items():
                 have = [c for c in columns if c in self.rows.columns]
                 each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in have])
-                part = self.spark.read.schema(self.rows.schema).parquet(*files).select(F.col(self.load).cast("bigint").alias("load"), F.explode(each).alias("e"))
+                part = self.spark.read.options(**self._base).schema(self.rows.schema).parquet(*files).select(F.col(self.load).cast("bigint").alias("load"), F.explode(each).alias("e"))
                 parts.append(part.groupBy("e.column_name", "load", "e.value").agg(F.count(F.lit(1)).alias("n")))
             out = parts[0]
             for p in parts[1:]:
@@ -126,12 +127,12 @@ class Profile:
         """column_name and the columns `keep` of each row whose value is neither missing nor well-formed."""
         out = None
         for r in self.rules:
-            value = F.col("x")
+            value = F.col("__x")
             suspect = F.exists("candidates", lambda x: ~r.is_missing(x) & ~r.well_formed(x)) | ~F.col("complete")
             files = self._files(self.chunks.where((F.col("column_name") == r.column) & suspect))
             if not files:
                 continue
-            rows = self.spark.read.schema(self.rows.schema).parquet(*files).select(*keep, F.col(r.column).cast("string").alias("x"))
+            rows = self.spark.read.options(**self._base).schema(self.rows.schema).parquet(*files).select(*keep, F.col(r.column).cast("string").alias("__x"))
             part = rows.where(~r.is_missing(value) & ~r.well_formed(value)).select(F.lit(r.column).alias("column_name"), *keep)
             out = part if out is None else out.unionByName(part)
         return self.rows.select(F.lit("").alias("column_name"), *keep).limit(0) if out is None else out

@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from docloom.session import materialize
 
 
-def global_rank(df: DataFrame, order: list[Column], kind: str, out: str) -> DataFrame:
+#: Bytes of a table, as the optimizer bounds them, that one task may sort.
+SMALL_BYTES = 64 << 20
+
+
+def bytes_bound(df: DataFrame) -> int:
+    """The optimizer's bound of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def global_rank(df: DataFrame, order: list[Column], kind: str, out: str, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """df with ROW_NUMBER, RANK or DENSE_RANK over all rows in `order` (ties of row numbers in any order).
 
-    The table is sorted by ranges, so that equal places lie in one part; parts are ranked apart and shifted by the
+    A table of bounded small size is ranked by one window. Any other is sorted by ranges, so that equal places lie in one part; parts are ranked apart and shifted by the
     counts of the parts before, of which there are as many as partitions.
     """
+    f = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[kind]
+    if bytes_bound(df) <= small_bytes:
+        return df.withColumn(out, f().over(Window.orderBy(*order)).cast("bigint"))
     n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = materialize(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranked")
     w = Window.partitionBy("__part").orderBy(*order)
-    f = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[kind]
     ranked = parts.withColumn(out, f().over(w))
     size = F.max(out) if kind == "DENSE_RANK" else F.count(F.lit(1))
     sizes = ranked.groupBy("__part").agg(size.alias("__size"))

@@ -197,7 +197,13 @@ class Lowering:
         names = tuple(x for x in (src.alias, src.name) if x)
         there = Compiler(Scope(right, names, tuple(right.columns)), self.options)
         here = Compiler(scope, self.options)
-        pairs = [self.equal_sides(c, here, there, names) for c in conjuncts(src.on)]
+        pairs = []
+        for c in conjuncts(src.on):
+            pair = self.equal_sides(c, here, there, names)
+            if pair is None and self.concerns(c, here, there, names):
+                right = right.filter(there.truth(c))  # before rows are gathered
+            else:
+                pairs.append(pair)
         if pairs and all(pairs):
             df = joins.by_keys(scope.df, [here.col(a) for a, _ in pairs], right, [there.col(b) for _, b in pairs], side, src.join, mode, fields)
         else:
@@ -205,10 +211,18 @@ class Lowering:
                 raise StatementError("Join not supported: FULL JOIN needs equality of columns")
             kind = T.StructType([right.schema[c] for c in kept])
             probe = scope.df.select("*", F.lit(None).cast(kind).alias(side))
-            on = Compiler(replace(scope, df=probe, joined=scope.joined | {n: side for n in names}), self.options).truth(src.on)
+            both = Compiler(replace(scope, df=probe, joined=scope.joined | {n: side for n in names}), self.options)
+            on = both.truth(src.on)
             df = joins.by_condition(scope.df, right, on, side, src.join, mode, fields)
         return replace(scope, df=df, joined=scope.joined | {label: side})
 
+    @staticmethod
+    def concerns(n: s.Node, here: Compiler, there: Compiler, names: tuple[str, ...]) -> bool:
+        """Whether a condition is about the joined side only."""
+        used = [x for x in s.deep(n) if isinstance(x, s.Name)]
+        own = lambda x: x.parts[0] in names and len(x.parts) > 1
+        return bool(used) and all(there.knows(x) and (own(x) or not here.knows(x)) for x in used) and not any(isinstance(x, s.Select) for x in s.deep(n))
+
     @staticmethod
     def equal_sides(n: s.Node, here: Compiler, there: Compiler, names: tuple[str, ...]) -> tuple[s.Name, s.Name] | None:
         """(left, right) of an equality between a column of each side."""

@@ -232,3 +232,12 @@ def test_joined_sides_hold_only_what_is_used(spark, data, engine):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     got = engine.sql("SELECT o.id AS i, (SELECT instock AS `$$ROOT` FROM v WHERE sku = 'almonds') AS s FROM orders o INNER JOIN inventory v ON v.sku = o.item ORDER BY i")
     assert rows(got) == [(1, [120]), (2, []), (3, [120]), (4, [120])]
+
+
+def test_conditions_on_the_joined_side_filter_it_first(spark, data):
+    e = Engine(spark, folder=data)
+    text = "SELECT c.c_custkey AS k, SIZE_OF_ARRAY(o) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 100000 AND o.o_orderstatus = 'F'"
+    got = {r.k: r.n for r in e.sql(text).collect()}
+    orders = spark.read.parquet(f"{data}/orders.parquet").where("o_totalprice > 100000 AND o_orderstatus = 'F'").groupBy("o_custkey").count().collect()
+    assert sum(got.values()) == sum(r["count"] for r in orders) and len(got) == spark.read.parquet(f"{data}/customer.parquet").count()
+    assert "GreaterThan(o_totalprice,100000.0)" in e.explain(text)

@@ -236,6 +236,21 @@ def test_medians_that_need_narrowing(spark, monkeypatch):
         assert got[k] == statistics.median([x for load, x, n in rows for _ in range(n) if k in (-1, load)])
 
 
+def test_profile_of_a_table_in_folders(spark, tmp_path):
+    rows = [(str(i), i % 2, "A" if i % 4 else "?") for i in range(300)]
+    spark.createDataFrame(rows, "_id string, load_no int, code string").write.partitionBy("load_no").parquet(f"file://{tmp_path}/f")
+    p = profile.Profile(spark, f"file://{tmp_path}/f", [profile.Rule("code", codes=("A",))])
+    assert {r._id for r in p.breaking_rows(["_id"]).collect()} == {i for i, _, c in rows if c == "?"}
+    assert {(r.load, r.value): r.n for r in p.counts().collect()} == {(0, "?"): 75, (0, "A"): 75, (1, "A"): 150}
+
+
+def test_footers_that_cannot_be_read(spark):
+    from docloom.operators.footers import chunk_statistics
+
+    got = chunk_statistics(spark, ["nowhere://x/y.parquet", "file:///nothing/here.parquet"], ["a"]).collect()
+    assert [(r.complete, r.n_rows) for r in got] == [(False, None)] * 2
+
+
 def test_numbers_of_any_length(spark):
     texts = ["9" * 10_000, "-" + "9" * 40, ".5", "12.3456", "0"]
     df = spark.createDataFrame([(t,) for t in texts], "v string").select(profile.as_number(F.col("v")).alias("n"), F.lit(1).cast("bigint").alias("load"))
@@ -268,6 +283,21 @@ def test_versions_and_deltas(spark, tmp_path):
     assert whole.files.count() == 3
 
 
+def test_names_that_clash(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.createDataFrame([(i, i, "f", 7, 1) for i in range(20)], "id int, at bigint, file string, pos int, n_rows int").write.parquet(path)
+    t = spark.read.parquet(path)
+    added, _ = incremental.record_delta(t, *incremental.versions_by_arrival(t, F.col("at"), 15))
+    assert added.columns == t.columns and sorted(r.id for r in added.collect()) == [15, 16, 17, 18, 19]
+    refs = spark.createDataFrame([("a", 1, 1, "x", 0), ("b", 9, 1, "y", 0)], "row_id string, key bigint, at bigint, born string, kind int")
+    refs = refs.select("*", *references.integer_halves(F.col("key")))
+    found = references.orphans(refs, keys(spark, [("", 1, 0)])).collect()
+    assert [(r.row_id, r.born, r.kind) for r in found] == [("b", "y", 0)]
+    spark.createDataFrame([("i", 1, "?", "x")], "_id string, load_no int, code string, x string").write.parquet(f"file://{tmp_path}/p")
+    p = profile.Profile(spark, f"file://{tmp_path}/p", [profile.Rule("code", codes=("A",))])
+    assert p.breaking_rows(["_id", "x"]).first().x == "x"
+
+
 def test_failed_runs_leave_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     spark.createDataFrame([(i, i) for i in range(20)], "id int, at bigint").repartition(2).write.parquet(path)
@@ -296,3 +326,24 @@ def test_first_of_a_change(spark):
     seen = spark.createDataFrame([("s", 1), ("s", 1), (None, 2)], "key string, changed int")
     got = incremental.first_of_change(new, seen, ["key", "changed"], ["at", "row_id"])
     assert sorted(r.row_id for r in got.collect()) == ["a", "d", "e"]
+
+
+# ranks
+
+
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_ranks_over_a_whole_table(spark, small):
+    from docloom.operators.ranking import global_rank
+
+    rng = random.Random(8)
+    xs = [rng.choice([None, *range(20)]) for _ in range(300)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id int, x int")
+    for down in (False, True):
+        key = F.col("x").desc() if down else F.col("x").asc()
+        low = sorted(xs, key=lambda v: (v is not None, v or 0), reverse=down)
+        ranks = {r.id: r.r for r in global_rank(df, [key], "RANK", "r", small).collect()}
+        dense = {r.id: r.r for r in global_rank(df, [key], "DENSE_RANK", "r", small).collect()}
+        rows = [r.r for r in global_rank(df, [key, F.col("id").asc()], "ROW_NUMBER", "r", small).collect()]
+        assert all(ranks[i] == low.index(x) + 1 for i, x in enumerate(xs))
+        assert all(dense[i] == list(dict.fromkeys(low)).index(x) + 1 for i, x in enumerate(xs))
+        assert sorted(rows) == list(range(1, 301))
