@@ -31,7 +31,11 @@ class WideStore:
         self.written = 0
 
     def delta(self, rows: DataFrame) -> DataFrame:
-        """The sparse delta of rows with entity, attribute, version (bigint), row_id, value (null clears)."""
+        """The sparse delta of rows with entity, attribute, version (bigint), row_id, value (null clears).
+
+        Rows without entity or version, and those of attributes that aren't fields, take no part. Of rows of one version the
+        smallest row_id holds; repeated rows change nothing; other columns are not read; no rows give no delta rows.
+        """
         cell = F.struct((-F.col("version")).alias("v"), F.col("row_id").alias("r"), F.col("value").alias("x"))
         cells = [F.min(F.when(F.col("attribute") == f, cell)).alias(cell_column(i)) for i, f in enumerate(self.fields)]
         known = rows.where(F.col("entity").isNotNull() & F.col("version").isNotNull() & F.col("attribute").isin(*self.fields))
