@@ -50,7 +50,7 @@ add("filter_between", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20
 add("filter_in_list", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 add("filter_not_in", "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('en', 'de')", "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('en', 'de') OR lang IS NULL")
 add("filter_not_equal", "SELECT doc_id FROM documents WHERE source != 'crawl_wide'", "SELECT doc_id FROM documents WHERE source <> 'crawl_wide' OR source IS NULL")
-add("filter_like_ci", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%A%' AND p_type ILIKE '%steel'", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a%' AND lower(p_type) LIKE '%steel'")
+add("filter_like_ci", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%RING%' AND p_type ILIKE '%nomy'", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' AND lower(p_type) LIKE '%nomy'")
 add("filter_like_prefix", "SELECT c_custkey FROM customer WHERE c_mktsegment LIKE 'build%'", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) LIKE 'build%'")
 add("filter_not_like", "SELECT doc_id, lang FROM documents WHERE lang NOT LIKE 'e%'", "SELECT doc_id, lang FROM documents WHERE NOT coalesce(lower(lang) LIKE 'e%', false)")
 add("filter_is_null", "SELECT doc_id FROM documents WHERE lang IS NULL", "SELECT doc_id FROM documents WHERE lang IS NULL")
