@@ -16,7 +16,7 @@ from docloom.session import materialize, work_path
 
 GROUP = ["entity", "attribute"]
 ORDER = ["valid_from", "row_id"]
-EVENT = "entity string, attribute string, valid_from bigint, row_id string, value string, old_value string"
+EVENT = "entity string, attribute string, valid_from bigint, row_id string, value string, old_value string, written string, old_written string"
 SEGMENT = EVENT + ", next_from bigint, next_row string, recorded bigint"
 
 
@@ -49,9 +49,11 @@ class Ledger:
     def record(self, events: DataFrame) -> None:
         """Take in a batch with entity, attribute, valid_from, row_id, value, old_value (row_id unique).
 
+        value and old_value are compared; written and old_written, where the batch has them, are what they stand for.
         Rows without entity, attribute or valid_from take no part; a row id that is known is a repeat and ignored.
         """
         now = len(self.batches) + 1
+        events = events.withColumns({c: F.col(v) for c, v in (("written", "value"), ("old_written", "old_value")) if c not in events.columns})
         new = events.where("entity is not null and attribute is not null and valid_from is not null and row_id is not null").dropDuplicates([*GROUP, "row_id"])
         if self.batches:
             touched = new.select(*GROUP).distinct()
@@ -69,19 +71,19 @@ class Ledger:
         self.batches.append(out)
 
     def history(self, as_recorded: int | None = None) -> DataFrame:
-        """The periods in which an attribute held one value: entity, attribute, value, from_row_id, to_row_id, valid_from, valid_to.
+        """The periods in which an attribute held one value: entity, attribute, value, written, from_row_id, to_row_id, valid_from, valid_to.
 
-        Events that repeat the value in force are merged into its period; cleared stretches are no periods. The
-        old_value of the first event is a period before it, with from_row_id '' and valid_from null. to_row_id is
-        '' and valid_to null while the value holds.
+        Events that repeat the value in force are merged into its period, which has the first one's written; cleared
+        stretches are no periods. The old_value of the first event is a period before it, with from_row_id '' and
+        valid_from null. to_row_id is '' and valid_to null while the value holds.
         """
-        seg = materialize(self.current(as_recorded).select(*GROUP, *ORDER, "value", "old_value"), "segments")
+        seg = materialize(self.current(as_recorded).select(*GROUP, *ORDER, "value", "old_value", "written", "old_written"), "segments")
         lagged = neighbours(seg, GROUP, ORDER, previous={"p_row": "row_id", "p_value": "value"}, hot_rows=self.hot_rows)
         first = F.col("p_row").isNull()
         lagged = lagged.withColumn("before", F.when(first, F.col("old_value")).otherwise(F.col("p_value")))
-        start = F.struct(F.lit(None).cast("bigint").alias("valid_from"), F.lit("").alias("row_id"), F.col("old_value").alias("value"))
-        own = F.struct("valid_from", "row_id", "value")
+        start = F.struct(F.lit(None).cast("bigint").alias("valid_from"), F.lit("").alias("row_id"), F.col("old_value").alias("value"), F.col("old_written").alias("written"))
+        own = F.struct("valid_from", "row_id", "value", "written")
         moves = F.filter(F.array(F.when(first & F.col("old_value").isNotNull(), start), F.when(~F.col("before").eqNullSafe(F.col("value")), own)), lambda x: x.isNotNull())
         changes = materialize(lagged.select(*GROUP, F.explode(moves).alias("m")).select(*GROUP, "m.*").withColumn("at", F.coalesce("valid_from", F.lit(-(2**63)))), "changes")
         out = neighbours(changes, GROUP, ["at", "row_id"], following={"to_row_id": "row_id", "valid_to": "valid_from"}, hot_rows=self.hot_rows)
-        return out.where(F.col("value").isNotNull()).select(*GROUP, "value", F.col("row_id").alias("from_row_id"), F.coalesce("to_row_id", F.lit("")).alias("to_row_id"), "valid_from", "valid_to")
+        return out.where(F.col("value").isNotNull()).select(*GROUP, "value", "written", F.col("row_id").alias("from_row_id"), F.coalesce("to_row_id", F.lit("")).alias("to_row_id"), "valid_from", "valid_to")

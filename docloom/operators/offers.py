@@ -17,11 +17,13 @@ def value_of(c: Column, value_type: Column) -> Column:
 
 
 def typed_events(changes: DataFrame, fields: dict[str, str], dictionary: InstantDictionary) -> DataFrame:
-    """entity, attribute, version, row_id, value, old_value of the changes that take part.
+    """entity, attribute, version, row_id, value, old_value, written, old_written of the changes that take part.
 
     changes has _id, ParentId, Field, OldValue, NewValue, CreatedDate, feed_code, all text. Without part are rows of
     unknown fields, of values that can't be read as the field's type, of dates that denote no single instant,
     and rows without ParentId. value is null where the row clears; old_value is null where it is clear or can't be read.
+    Those two are for comparison, written and old_written what they stand for: texts as the row has them, with their
+    letter case and outer blanks, values of other types in the same form as value.
     """
     known = attribute_map(fields)
     named = changes.select(
@@ -33,12 +35,14 @@ def typed_events(changes: DataFrame, fields: dict[str, str], dictionary: Instant
         named.select(
             "row_id", "entity", F.col("f.name").alias("attribute"), "raw", "feed", is_clear(F.col("nv")).alias("clear"),
             value_of(F.col("nv"), F.col("f.type")).alias("value"), value_of(F.col("ov"), F.col("f.type")).alias("old_value"),
+            *[F.when(F.col("f.type") == "text", F.col(c)).alias(f"{c}_text") for c in ("nv", "ov")],
         ),
         "typed",
     ).where(F.col("clear") | F.col("value").isNotNull())
     dictionary.add(typed.select("raw", "feed"))
     timed = dictionary.match(typed, "raw", "feed", "version").where(F.col("version").isNotNull())
-    return timed.select("entity", "attribute", "version", "row_id", "value", "old_value")
+    shown = [F.when(F.col(c).isNotNull(), F.coalesce(text, c)).alias(name) for c, text, name in (("value", "nv_text", "written"), ("old_value", "ov_text", "old_written"))]
+    return timed.select("entity", "attribute", "version", "row_id", "value", "old_value", *shown)
 
 
 def offer_fields(table: DataFrame) -> dict[str, str]:

@@ -77,7 +77,7 @@ def offer_store(spark: SparkSession, sf: str) -> WideStore:
     known = dictionary_for(read_table(spark, sf, "feed_zones"))
     store = WideStore(spark, fields)
     for b in batches(spark, sf, OFFERS):
-        store.upsert(typed_events(b, fields, known))
+        store.upsert(typed_events(b, fields, known).drop("value").withColumnRenamed("written", "value"))
     return store
 
 
@@ -123,7 +123,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_periods(spark: SparkSession, sf: str) -> DataFrame:
     h = offer_ledger(spark, sf).history()
-    return h.select(F.col("entity").alias("parent_id"), F.col("attribute").alias("field_name"), "value", F.timestamp_micros("valid_from").alias("valid_from"), F.timestamp_micros("valid_to").alias("valid_to"))
+    return h.select(F.col("entity").alias("parent_id"), F.col("attribute").alias("field_name"), F.col("written").alias("value"), F.timestamp_micros("valid_from").alias("valid_from"), F.timestamp_micros("valid_to").alias("valid_to"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -45,3 +45,17 @@ def test_summary_adds_up(spark, data):
         whole = next(r for r in own if r.load is None)
         assert whole.n_rows == sum(r.n_rows for r in own if r.load is not None)
         assert whole.n_missing == sum(r.n_missing for r in own if r.load is not None)
+
+
+def test_texts_come_out_as_written(spark, data):
+    rows = {r["_id"]: r for r in brute.load(data, "flat_offer_history")}
+    texts = [r["field_name"] for r in brute.load(data, "offer_fields") if r["value_type"] == "text"]
+    want = {(p, f): rows[i]["NewValue"] for p, f, i in brute.p2(data) if f in texts}
+    got = {(r.parent_id, f): r[f] for r in problems.p2_wide(spark, data).collect() for f in texts if r[f] is not None}
+    assert got == want and any(v != v.strip().lower() for v in want.values())
+    spans = sorted(((p, f, rows[i]["NewValue"] if i else None, j) for p, f, i, j in brute.p4(data) if f in texts and i), key=str)
+    told = problems.p4_periods(spark, data).where("valid_from is not null").collect()
+    assert sorted(r.value for r in told if r.field_name in texts) == sorted(s[2] for s in spans)
+    first = {k: min((r for r in v), key=lambda r: r[:2])[1] for k, v in brute.offer_events(data).items()}
+    olds = [rows[first[p, f]]["OldValue"] for p, f, i, _ in brute.p4(data) if not i and f in texts]
+    assert sorted(r.value for r in problems.p4_periods(spark, data).where("valid_from is null").collect() if r.field_name in texts) == sorted(olds)
