@@ -1,7 +1,7 @@
 """Text garbled by a wrong character encoding, found and restored by minimum description length.
 
-For each language a zstandard dictionary is trained on a bounded sample of its documents. A suspicious passage is
-re-encoded by each encoding it may have been read with and decoded by each it may have been written in; the chain of
+For each language a zstandard dictionary is trained on a bounded sample of its documents. Each passage with characters
+beyond ASCII is re-encoded by each encoding it may have been read with and decoded by each it may have been written in; the chain of
 such steps that, compressed with a language's dictionary, takes the fewest bytes together with the cost of its steps is
 taken, and the passage is left unchanged if that is the empty chain. Passages are the whole text, else its lines,
 else their sentences: a sentence that shows garbled words beside sound ones decodes as a whole in no chain.
@@ -50,21 +50,24 @@ WRITTEN = {
     "cp1251": "ru", "koi8-r": "ru", "cp866": "ru", "mac_cyrillic": "ru", "cp1253": "el", "iso8859-7": "el", "cp1254": "tr", "iso8859-9": "tr",
 }
 WRITTEN_WIDE = {"gb18030": "zh", "cp932": "ja", "euc_jp": "ja"}
-#: Bytes that a step of a chain costs: UTF-8 that is read wrongly gives itself away, other bytes fit many encodings; and
+#: Bytes that a step of a chain costs: UTF-8 that is read wrongly gives itself away, other bytes fit many encodings, and
+#: more where the text shows no sign of them; and
 #: bytes that each oddity of a text costs beyond its compressed size (signs inside words, letters of two scripts or
 #: capitals after small letters side by side, control characters, drawing signs).
-UTF8_COST, OTHER_COST, ODD_COST = 1, 6, 2
+UTF8_COST, OTHER_COST, HIDDEN_COST, ODD_COST = 1, 6, 12, 2
 DEPTH = 3
-TRIED = 10
 SENTENCE = re.compile(r"[。！？]+|[^\n。！？]*?[.!?]+[\"'»”)\]]*(?=\s|$)\s*|[^\n。！？]+")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 HIGH = re.compile(rb"[\x80-\xff]")
+HIGHS, HIGH_RUN, PAIR = re.compile("[^\x00-\x7f]"), re.compile("[^\x00-\x7f]+"), re.compile("[^\x00-\x7f]{2}")
 ENDS = re.compile(rb"[\n.!?]")
 C1 = re.compile("[\x80-\x9f]")
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}\d{0,2}|#\d{2,5}|#[xX][0-9A-Fa-f]{2,4});")
 LETTER = r"[^\W\d_]"
 CAPITALS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isupper())
 SHAPES = re.compile(rf"{LETTER}[±¶¤¦§¨¬°¹²³¼½¾µ¿¡©®´¸˝ˇ˘˙˛¯¢£¥€‡†‰‹›™•ªº÷×√∂≈≤≥∞∫Ω◊\u2500-\u25ff]+{LETTER}|[a-zß-ÿ][{CAPITALS}]|[а-яё][А-ЯЁ]|[A-Za-zÀ-ɏ][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-zÀ-ɏ]")
+#: Marks that a letter's byte may become, between letters; sound texts have them there now and then.
+JOINED = re.compile(rf"(?<={LETTER})[„“”‚…£¡¿]+(?={LETTER})")
 SANDWICH = re.compile("[a-zß-ÿ][\u3040-\u30ff\u4e00-\u9fff][a-zß-ÿ]")
 ODD = re.compile("[\x80-\x9f\u2200-\u22ff\u2320-\u23ff\u2500-\u25ff\uff61-\uff9f˝ˇ˘˙˛¸¯¨´◊√Ω]")
 LOST = re.compile(rf"{LETTER}\ufffd|\ufffd{LETTER}|\ufffd.*\ufffd", re.S)
@@ -113,6 +116,44 @@ def letters_of(written: str) -> tuple[str | None, ...]:
     return tuple(bytes([b]).decode(written, "ignore") or None for b in range(128, 256))
 
 
+@lru_cache(None)
+def swapped(read: str, written: str) -> tuple[dict[str, str], frozenset[str]]:
+    """The characters of one reading of bytes as those of another, '' where it has none or an odd one; those that become foreign."""
+    u, new = unlike(written), letters_of(written)
+    other = {c: new[b - 128] or "" for c, b in table(read).items()}
+    return {c: "" if ODD.match(x) else x for c, x in other.items()}, frozenset(c for c, b in table(read).items() if u[b - 128])
+
+
+@lru_cache(4096)
+def readings(chars: str) -> list[tuple[str, str, str, str]]:
+    """(mapped, alien, read, written) of each pair of encodings that gives chars others, none of them odd; alien ones become foreign.
+
+    Of pairs alike in both the first by name stands for all.
+    """
+    out: dict[tuple[str, str], tuple[str, str]] = {}
+    for read in READ:
+        if all(c in table(read) for c in chars):
+            for written in WRITTEN:
+                other, alien = swapped(read, written)
+                mapped = "".join([other[c] for c in chars])
+                if written != read and len(mapped) == len(chars) and mapped != chars:
+                    kind = mapped, "".join(c for c in chars if c in alien)
+                    out[kind] = min(out.get(kind, (read, written)), (read, written))
+    return [(*kind, *pair) for kind, pair in out.items()]
+
+
+@lru_cache(4096)
+def strange(chars: str, lang: str) -> str:
+    """Those of chars that are foreign to a language."""
+    return "".join(foreign(lang).findall(chars))
+
+
+@lru_cache(256)
+def oddities(text: str) -> int:
+    """Number of the oddities of a text."""
+    return 0 if text.isascii() else sum(len(x.findall(text)) for x in (SHAPES, ODD))
+
+
 @lru_cache(None)
 def as_read(read: str):
     """The codec's map of characters to the bytes read."""
@@ -170,14 +211,14 @@ class Restorer:
 
     def length(self, text: str, lang: str) -> int:
         """Description length of text: its compressed size and the cost of its oddities."""
-        return self.size(text, lang) + (0 if text.isascii() else ODD_COST * (len(SHAPES.findall(text)) + len(ODD.findall(text))))
+        return self.size(text, lang) + ODD_COST * oddities(text)
 
     def guess(self, text: str) -> str:
         """The language whose dictionary compresses text best."""
         return min(self.dictionaries or ["en"], key=lambda x: (self.size(text, x), x))
 
     def suspicious(self, text: str, lang: str | None) -> bool:
-        """Whether a passage has characters foreign to its language or looks like bytes read wrongly."""
+        """Whether a text has characters foreign to its language or looks like bytes read wrongly, so that its language is in doubt."""
         if text.isascii():
             return False
         if "\ufffd" in text or C1.search(text) or SHAPES.search(text) or lang is None or foreign(lang).search(text):
@@ -191,41 +232,40 @@ class Restorer:
     def candidates(self, text: str, lang: str) -> list[tuple[str, int, tuple[str, ...], str]]:
         """(decoded, cost, languages, step) of the steps that may undo a wrong reading of text."""
         out, seen = [], {text}
-        high = Counter(c for c in text if ord(c) > 127)
+        high = Counter(HIGHS.findall(text))
         n = sum(high.values())
-        reads = [r for r in READ if all(c in table(r) for c in high)]
-        for read in [*reads, *READ_WIDE]:
+        reads = [r for r in READ if high.keys() <= table(r).keys()]
+        # A sequence of UTF-8 is two characters of a single-byte encoding, or more.
+        for read in [*(reads if PAIR.search(text) else ()), *READ_WIDE]:
             raw = to_bytes(text, read)
             new = raw and from_utf8(raw)
             if new and new not in seen:
                 seen.add(new)
                 out.append((new, UTF8_COST, tuple(self.dictionaries), f"{read}>utf-8"))
-        mine = min(sum(high[c] for c in high if foreign(x).match(c)) for x in {lang, "en"})
-        shaped = len(SHAPES.findall(text))
+        chars = "".join(sorted(high))
+        mine = min(sum(high[c] for c in strange(chars, x)) for x in {lang, "en"})
         ranked = []
-        for read in reads:
-            t = table(read)
-            codes = [(t[c] - 128, k) for c, k in high.items()]
-            for written, langs in WRITTEN.items():
-                if written != read:
-                    u = unlike(written)
-                    bad = sum(k for b, k in codes if u[b])
-                    if bad < mine or (bad == mine and shaped):
-                        ranked.append((bad, read, written, langs))
-        tried = 0
-        for bad, read, written, langs in sorted(ranked):
-            if tried == TRIED:
-                break
-            raw = to_bytes(text, read)
-            try:
-                new = raw.decode(written)
-            except UnicodeDecodeError:
-                continue
+        for mapped, alien, read, written in readings(chars):
+            bad = sum([high[c] for c in alien]) if alien else 0
             # A step between single bytes has to leave nothing odd and hardly anything foreign.
-            if new not in seen and not SHAPES.search(new) and not ODD.search(new) and bad * 10 <= n:
+            if bad <= mine and bad * 10 <= n:
+                ranked.append((bad, read, written, mapped))
+        around = "\n".join({text[max(0, m.start() - 1) : m.end() + 1] for m in HIGH_RUN.finditer(text)}) if ranked else ""
+        signs, shaped = len(JOINED.findall(around)), SHAPES.search(around) is not None
+        tried = set()
+        for bad, read, written, mapped in sorted(ranked):
+            if mapped in tried:  # other bytes, but the same text
+                continue
+            tried.add(mapped)
+            near = to_bytes(around, read).decode(written)
+            if SHAPES.search(near):
+                continue
+            new = to_bytes(text, read).decode(written)
+            if new not in seen:
                 seen.add(new)
-                tried += 1
-                out.append((new, OTHER_COST, tuple(langs.split()), f"{read}>{written}"))
+                fewer = signs - len(JOINED.findall(near))
+                cost = OTHER_COST if bad < mine or shaped or fewer > 0 else HIDDEN_COST
+                out.append((new, cost - ODD_COST * fewer, tuple(WRITTEN[written].split()), f"{read}>{written}"))
         if n >= 4 and (lang in SCRIPTS or n * 3 > len(text)):
             for read in reads:
                 raw = to_bytes(text, read)
@@ -241,10 +281,12 @@ class Restorer:
     def chain(self, text: str, lang: str) -> tuple[str, list[str]]:
         """The decoding of least description length and its steps, none if text is best as it is."""
         steps: list[str] = []
-        best, sure = min(self.length(text, x) for x in {lang, "en"}), False
+        best, sure = -1, False
         while len(steps) < DEPTH and not text.isascii():
-            found = None
-            for new, cost, langs, step in self.candidates(text, lang):
+            found, options = None, self.candidates(text, lang)
+            if options and best < 0:
+                best = min(self.length(text, x) for x in {lang, "en"})
+            for new, cost, langs, step in options:
                 near = [x for x in langs if x in self.dictionaries and (len(langs) < 6 or x in (lang, "en") or not foreign(x).search(new))]
                 for x in near or [lang]:
                     total = self.length(new, x) + cost
@@ -274,13 +316,10 @@ class Restorer:
         if text.isascii():
             return text, []
         lang = language(lang_tag)
-        if lang is not None and not self.suspicious(text, lang):
-            return text, []
-        near = self.guess(text)
-        if lang is None or near != lang and len(foreign(near).findall(text)) < len(foreign(lang).findall(text)):
-            lang = near
-            if not self.suspicious(text, lang):
-                return text, []
+        if lang is None or self.suspicious(text, lang):
+            near = self.guess(text)
+            if lang is None or near != lang and len(foreign(near).findall(text)) < len(foreign(lang).findall(text)):
+                lang = near
         new, steps = self.chain(text, lang)
         if not steps:
             new, steps = self.by_passage(text, lang)
@@ -292,12 +331,12 @@ class Restorer:
         """Each line, or each sentence of a line that is best as it is."""
         out, steps = [], []
         for line in text.split("\n"):
-            if self.suspicious(line, lang):
-                new, own = self.chain(line, lang)
+            if not line.isascii():
+                new, own = self.chain(line, lang) if line != text else (line, [])
                 if not own:
                     parts = SENTENCE.findall(line)
                     if len(parts) > 1:
-                        got = [self.chain(p, lang) if self.suspicious(p, lang) else (p, []) for p in parts]
+                        got = [self.chain(p, lang) for p in parts]
                         new, own = "".join(p for p, _ in got), [s for _, x in got for s in x]
                 line = new
                 steps += own

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -61,6 +62,17 @@ def test_single_bytes_read_wrongly(model, docs):
         assert sum(bool(s) for _, s in got) >= 0.9 * len(sound), lang
 
 
+def test_passages_without_signs(model, docs):
+    """Small Russian letters that became capitals; umlauts that became quotation marks, which any text may use."""
+    sound = [(mojibake.language(r.lang), r.text) for r in docs.itertuples() if r.text and not r.text.isascii() and not model.restore(r.text, r.lang)[1]]
+    for lang, written, read, letters in (("ru", "koi8-r", "cp1251", "[а-я]"), ("de", "cp850", "cp1252", "[äö]")):
+        parts = {p.lower().replace("ü", "ue").replace("ß", "ss") for x, t in sound if x == lang for line in t.split("\n") for p in mojibake.SENTENCE.findall(line) if len(p) > 40}
+        fit = sorted(p for p in parts if len(re.findall("[^\x00-\x7f]", p)) == len(re.findall(letters, p)) > 3)[:60]
+        assert len(fit) > 20
+        got = [model.restore(read_as(p, written, read), lang) for p in fit]
+        assert sum(new == p for p, (new, _) in zip(fit, got)) >= 0.8 * len(fit), lang
+
+
 @pytest.mark.parametrize(
     "text",
     [
