@@ -55,7 +55,6 @@ WRITTEN_WIDE = {"gb18030": "zh", "cp932": "ja", "euc_jp": "ja"}
 #: bytes that each oddity of a text costs beyond its compressed size (signs inside words, letters of two scripts or
 #: capitals after small letters side by side, control characters, drawing signs).
 UTF8_COST, OTHER_COST, HIDDEN_COST, ODD_COST = 1, 6, 12, 2
-DEPTH = 3
 SENTENCE = re.compile(r"[。！？]+|[^\n。！？]*?[.!?]+[\"'»”)\]]*(?=\s|$)\s*|[^\n。！？]+")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 HIGH = re.compile(rb"[\x80-\xff]")
@@ -279,10 +278,10 @@ class Restorer:
         return out
 
     def chain(self, text: str, lang: str) -> tuple[str, list[str]]:
-        """The decoding of least description length and its steps, none if text is best as it is."""
+        """The decoding of least description length, step by step until none shortens, and its steps; none if text is best as it is."""
         steps: list[str] = []
         best, sure = -1, False
-        while len(steps) < DEPTH and not text.isascii():
+        while not text.isascii():  # each step is shorter than the one before
             found, options = None, self.candidates(text, lang)
             if options and best < 0:
                 best = min(self.length(text, x) for x in {lang, "en"})

@@ -110,6 +110,14 @@ def test_long_garbled_text(model):
     assert model.restore(read_as(text, "utf-8", "cp1252"), "de")[0] == text
 
 
+def test_many_steps(model):
+    for text, lang in (("a café in town", "en"), ("Search this site and the café near it", "fr")):
+        bad = text
+        for _ in range(5):
+            bad = read_as(bad, "utf-8", "cp1252")
+        assert model.restore(bad, lang)[0] == text
+
+
 def test_rows_and_empty_tables(spark, model):
     df = spark.createDataFrame([(1, "Home Â· News", "en", "x"), (1, "Home Â· News", "en", None), (2, None, None, "k"), (3, "", "en", "k")], "k int, t string, l string, restored string")
     got = mojibake.restore_texts(df, "k", "t", "l", model).collect()
