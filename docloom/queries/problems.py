@@ -104,8 +104,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct element with the number of its occurrences."""
     flat = nested.Flat(records(spark, sf), ARRAYS)
+    nodes = flat.nodes
     n = flat.occurrences.groupBy("child").agg(F.count(F.lit(1)).alias("occurrences"))
-    return n.join(flat.nodes, "child").select(F.col("child").alias("node_id"), "node_type", "content", "occurrences")
+    return n.join(nodes, "child").select(F.col("child").alias("node_id"), "node_type", "content", "occurrences")
 
 
 def offer_ledger(spark: SparkSession, sf: str) -> Ledger:
