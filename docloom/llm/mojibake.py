@@ -12,7 +12,6 @@ from __future__ import annotations
 import codecs
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -50,26 +49,42 @@ WRITTEN = {
     "cp1251": "ru", "koi8-r": "ru", "cp866": "ru", "mac_cyrillic": "ru", "cp1253": "el", "iso8859-7": "el", "cp1254": "tr", "iso8859-9": "tr",
 }
 WRITTEN_WIDE = {"gb18030": "zh", "cp932": "ja", "euc_jp": "ja"}
+LANGUAGES = {w: tuple(x.split()) for w, x in (WRITTEN | WRITTEN_WIDE).items()}
 #: Bytes that a step of a chain costs: UTF-8 that is read wrongly gives itself away, other bytes fit many encodings, and
 #: more where the text shows no sign of them; and
 #: bytes that each oddity of a text costs beyond its compressed size (signs inside words, letters of two scripts or
 #: capitals after small letters side by side, control characters, drawing signs).
-UTF8_COST, OTHER_COST, HIDDEN_COST, ODD_COST = 1, 6, 12, 2
+#: a loss of bytes costs a step, and the places at which they are missing.
+UTF8_COST, OTHER_COST, HIDDEN_COST, ODD_COST, LOST_COST, GAP_COST = 1, 6, 12, 2, 8, 1
+#: Passages of at most so many characters are remembered by a task, and how many of them.
+SHORT, REMEMBERED = 400, 50_000
+#: Bytes that other readings of a text's characters beyond ASCII may save with one dictionary: some at any rate, and some for each. No
+#: bound of the format: of one character at most 15, of two at most 19 were seen (tests).
+BASE_REACH, REACH = 20, 10
 SENTENCE = re.compile(r"[。！？]+|[^\n。！？]*?[.!?]+[\"'»”)\]]*(?=\s|$)\s*|[^\n。！？]+")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-HIGH = re.compile(rb"[\x80-\xff]")
-HIGHS, HIGH_RUN, PAIR = re.compile("[^\x00-\x7f]"), re.compile("[^\x00-\x7f]+"), re.compile("[^\x00-\x7f]{2}")
+HIGH, ASCII = re.compile(rb"[\x80-\xff]"), bytes(range(128))
+HIGH_RUN, LONG_RUN = re.compile("[^\x00-\x7f]+"), re.compile("[^\x00-\x7f]{2}|[^\x00-\x7f][0-9][^\x00-\x7f][0-9]")
 ENDS = re.compile(rb"[\n.!?]")
 C1 = re.compile("[\x80-\x9f]")
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}\d{0,2}|#\d{2,5}|#[xX][0-9A-Fa-f]{2,4});")
 LETTER = r"[^\W\d_]"
 CAPITALS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isupper())
-SHAPES = re.compile(rf"{LETTER}[±¶¤¦§¨¬°¹²³¼½¾µ¿¡©®´¸˝ˇ˘˙˛¯¢£¥€‡†‰‹›™•ªº÷×√∂≈≤≥∞∫Ω◊\u2500-\u25ff]+{LETTER}|[a-zß-ÿ][{CAPITALS}]|[а-яё][А-ЯЁ]|[A-Za-zÀ-ɏ][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-zÀ-ɏ]")
+SIGNS = "±¶¤¦§¨¬°¹²³¼½¾µ¿¡©®´¸˝ˇ˘˙˛¯¢£¥€‡†‰‹›™•ªº÷×√∂≈≤≥∞∫Ω◊\u2500-\u25ff"
+SHAPES = re.compile(rf"{LETTER}[{SIGNS}]+{LETTER}|[a-zß-ÿ][{CAPITALS}]|[а-яё][А-ЯЁ]|[A-Za-zÀ-ɏ][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-zÀ-ɏ]")
+SHAPED = re.compile(f"[{SIGNS}{CAPITALS}\u0370-\u04ff]")
 #: Marks that a letter's byte may become, between letters; sound texts have them there now and then.
-JOINED = re.compile(rf"(?<={LETTER})[„“”‚…£¡¿]+(?={LETTER})")
+JOINTS = "„“”‚…£¡¿"
+JOINT = re.compile(f"[{JOINTS}]")
+JOINED = re.compile(rf"(?<={LETTER})[{JOINTS}]+(?={LETTER})")
 SANDWICH = re.compile("[a-zß-ÿ][\u3040-\u30ff\u4e00-\u9fff][a-zß-ÿ]")
 ODD = re.compile("[\x80-\x9f\u2200-\u22ff\u2320-\u23ff\u2500-\u25ff\uff61-\uff9f˝ˇ˘˙˛¸¯¨´◊√Ω]")
-LOST = re.compile(rf"{LETTER}\ufffd|\ufffd{LETTER}|\ufffd.*\ufffd", re.S)
+#: Runs of replacement characters, and such that aren't a single sign between blanks.
+LOST, TORN = re.compile("\ufffd+"), re.compile(rf"(?<={LETTER})\ufffd+|\ufffd+(?={LETTER})|\ufffd{{2,}}")
+#: A character beside letters of ASCII: the one before, it, the one after, or it alone where there is only one after.
+BESIDE = re.compile("([A-Za-z])([^\x00-\x7f])(?=([A-Za-z]?))|([^\x00-\x7f])(?=[A-Za-z])")
+#: Characters of East Asian encodings: what a wrong reading in one of these gives begins with one of them.
+WIDE_SIGN = re.compile("[\u1100-\u11ff\u2e80-\u9fff\ua000-\ud7ff\ue000-\ufaff\uff00-\uffef]")
 
 
 def language(name: str | None) -> str | None:
@@ -123,34 +138,114 @@ def swapped(read: str, written: str) -> tuple[dict[str, str], frozenset[str]]:
     return {c: "" if ODD.match(x) else x for c, x in other.items()}, frozenset(c for c, b in table(read).items() if u[b - 128])
 
 
-@lru_cache(4096)
-def readings(chars: str) -> list[tuple[str, str, str, str]]:
-    """(mapped, alien, read, written) of each pair of encodings that gives chars others, none of them odd; alien ones become foreign.
+#: Every pair of single-byte encodings; bit i of the masks below is pair i.
+PAIRS = [(read, written) for read in sorted(READ) for written in sorted(WRITTEN) if read != written]
+SIGN, GREEK_CYRILLIC, CAPITAL = re.compile(f"[{SIGNS}]"), re.compile("[\u0370-\u04ff]"), re.compile(f"[{CAPITALS}]")
 
-    Of pairs alike in both the first by name stands for all.
-    """
-    out: dict[tuple[str, str], tuple[str, str]] = {}
-    for read in READ:
-        if all(c in table(read) for c in chars):
-            for written in WRITTEN:
-                other, alien = swapped(read, written)
-                mapped = "".join([other[c] for c in chars])
-                if written != read and len(mapped) == len(chars) and mapped != chars:
-                    kind = mapped, "".join(c for c in chars if c in alien)
-                    out[kind] = min(out.get(kind, (read, written)), (read, written))
-    return [(*kind, *pair) for kind, pair in out.items()]
+
+@dataclass(frozen=True, slots=True)
+class Turns:
+    """What becomes of a character in each of PAIRS, as masks."""
+
+    valid: int = 0  # it has another reading that isn't odd
+    changed: int = 0
+    alien: int = 0  # it becomes foreign
+    script: int = 0  # a Greek or Cyrillic letter
+    capital: int = 0
+    sign: int = 0  # a sign that no word has inside
+    reads: int = 0  # bits over READ: encodings that have it
+    to: tuple[str, ...] = ()  # the other reading
+
+
+@lru_cache(None)
+def turns(c: str) -> Turns:
+    out = dict.fromkeys(Turns.__slots__, 0)
+    out["to"] = tuple(swapped(*pair)[0].get(c, "") for pair in PAIRS)
+    for i, (read, written) in enumerate(PAIRS):
+        other, alien = swapped(read, written)
+        if x := other.get(c):
+            hits = {"valid": True, "changed": x != c, "alien": c in alien, "script": GREEK_CYRILLIC.match(x), "capital": CAPITAL.match(x), "sign": SIGN.match(x)}
+            for k, hit in hits.items():
+                out[k] |= (1 << i) if hit else 0
+    out["reads"] = sum(1 << i for i, read in enumerate(READ) if c in table(read))
+    return Turns(**out)
+
+
+def bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        mask ^= low
+        yield low.bit_length() - 1
+
+
+@dataclass(frozen=True, slots=True)
+class Shared:
+    """What holds for every text with the same characters beyond ASCII."""
+
+    reads: tuple[str, ...]  # encodings that have all of them
+    swaps: int  # those of PAIRS that give each another reading, not odd, and at least one a different one
+    alien: int  # those that make one foreign
+    wide: bool
+
+
+@lru_cache(20_000)
+def shared(chars: str) -> Shared:
+    valid, reads, changed, alien = -1, -1, 0, 0
+    for t in map(turns, chars):
+        valid &= t.valid
+        reads &= t.reads
+        changed |= t.changed
+        alien |= t.alien
+    return Shared(tuple(r for i, r in enumerate(READ) if reads >> i & 1), valid & changed, alien, WIDE_SIGN.search(chars) is not None)
+
+
+@lru_cache(20_000)
+def distinct(chars: str, mask: int) -> list[tuple[int, str]]:
+    """The first of each of the pairs of a mask that read characters alike, with that reading."""
+    out: dict[str, int] = {}
+    rows = [turns(c).to for c in chars]
+    for i in bits(mask):
+        out.setdefault("".join([r[i] for r in rows]), i)
+    return [(i, x) for x, i in out.items()]
+
+
+def decoded(raw: bytes, written: str, lossy: bool) -> str | None:
+    """Bytes as written; lossy: up to one character in twenty may be missing."""
+    try:
+        return raw.decode(written)
+    except UnicodeDecodeError:
+        if not lossy or len(raw) < 20:
+            return None
+    new = raw.decode(written, "replace")
+    return new if new.count("\ufffd") * 20 <= len(new) else None
 
 
-@lru_cache(4096)
-def strange(chars: str, lang: str) -> str:
-    """Those of chars that are foreign to a language."""
-    return "".join(foreign(lang).findall(chars))
+@lru_cache(None)
+def plain_bytes(written: str) -> tuple[bytes, bytes]:
+    """The bytes of a single-byte encoding that are characters and not odd, and those of them not foreign to all its languages."""
+    good = [b for b in range(256) if b < 128 or (c := letters_of(written)[b - 128]) and not ODD.match(c)]
+    return bytes(good), bytes(b for b in good if b < 128 or not unlike(written)[b - 128])
+
+
+def characters(text: str) -> str:
+    """A text with its references to characters beyond ASCII resolved; those to ASCII ones (`&lt;`) stay as they are."""
+
+    def one(m: re.Match) -> str:
+        c = html.unescape(m[0])
+        return m[0] if c.isascii() else c
+
+    return ENTITY.sub(one, text) if "&" in text else text
 
 
 @lru_cache(256)
 def oddities(text: str) -> int:
     """Number of the oddities of a text."""
-    return 0 if text.isascii() else sum(len(x.findall(text)) for x in (SHAPES, ODD))
+    return 0 if text.isascii() else len(shapes(text)) + len(ODD.findall(text))
+
+
+def shapes(text: str) -> list[str]:
+    """All of SHAPES in a text; most texts have no character that may be part of one."""
+    return SHAPES.findall(text) if SHAPED.search(text) else []
 
 
 @lru_cache(None)
@@ -163,7 +258,7 @@ def as_read(read: str):
 def to_bytes(text: str, read: str) -> bytes | None:
     """The bytes that were read as text; None if that encoding can't have given it."""
     try:
-        return text.encode(read) if read in READ_WIDE else codecs.charmap_encode(text, "strict", as_read(read))[0]
+        return text.encode(read) if read == "gbk" or read in READ_WIDE else codecs.charmap_encode(text, "strict", as_read(read))[0]
     except UnicodeEncodeError:
         return None
 
@@ -182,6 +277,8 @@ def from_utf8(raw: bytes) -> str | None:
         return raw.decode()
     except UnicodeDecodeError:
         pass
+    if len(raw.translate(None, ASCII)) > 6 * len(UTF8.findall(raw)):  # more bytes than these and a tenth of them can hold
+        return None
     mended, n = re.subn(rb"([\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]) ", b"\\1\xa0", raw)
     raw = mended if n * 4 <= len(UTF8.findall(raw)) else raw
     return raw.decode("utf-8", "replace") if whole(raw) else None
@@ -194,9 +291,10 @@ class Restorer:
     dictionaries: dict[str, bytes]
     level: int = 3
     _coders: dict = field(default_factory=dict, repr=False)
+    _met: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"dictionaries": self.dictionaries, "level": self.level, "_coders": {}}
+        return {"dictionaries": self.dictionaries, "level": self.level, "_coders": {}, "_met": {}}
 
     def size(self, text: str, lang: str) -> int:
         """Bytes of text with the dictionary of lang."""
@@ -220,9 +318,9 @@ class Restorer:
         """Whether a text has characters foreign to its language or looks like bytes read wrongly, so that its language is in doubt."""
         if text.isascii():
             return False
-        if "\ufffd" in text or C1.search(text) or SHAPES.search(text) or lang is None or foreign(lang).search(text):
+        if "\ufffd" in text or C1.search(text) or shapes(text) or lang is None or foreign(lang).search(text):
             return True
-        for read in ("cp1252", "cp1251", "cp1250", "mac_roman", "cp850"):
+        for read in ("cp1252", "cp1251", "cp1250", "mac_roman", "cp850") if LONG_RUN.search(text) else ():
             raw = text.encode(read, "replace")
             if UTF8.search(raw) and any(whole(part) for part in ENDS.split(raw)):
                 return True
@@ -231,51 +329,95 @@ class Restorer:
     def candidates(self, text: str, lang: str) -> list[tuple[str, int, tuple[str, ...], str]]:
         """(decoded, cost, languages, step) of the steps that may undo a wrong reading of text."""
         out, seen = [], {text}
-        high = Counter(HIGHS.findall(text))
-        n = sum(high.values())
-        reads = [r for r in READ if high.keys() <= table(r).keys()]
-        # A sequence of UTF-8 is two characters of a single-byte encoding, or more.
-        for read in [*(reads if PAIR.search(text) else ()), *READ_WIDE]:
-            raw = to_bytes(text, read)
-            new = raw and from_utf8(raw)
+        chars = "".join(sorted([c for c in set(text) if c > "\x7f"]))
+        same = shared(chars)
+
+        def add(new: str | None, cost: int, langs: tuple[str, ...], step: str) -> None:
             if new and new not in seen:
                 seen.add(new)
-                out.append((new, UTF8_COST, tuple(self.dictionaries), f"{read}>utf-8"))
-        chars = "".join(sorted(high))
-        mine = min(sum(high[c] for c in strange(chars, x)) for x in {lang, "en"})
-        ranked = []
-        for mapped, alien, read, written in readings(chars):
-            bad = sum([high[c] for c in alien]) if alien else 0
-            # A step between single bytes has to leave nothing odd and hardly anything foreign.
-            if bad <= mine and bad * 10 <= n:
-                ranked.append((bad, read, written, mapped))
-        around = "\n".join({text[max(0, m.start() - 1) : m.end() + 1] for m in HIGH_RUN.finditer(text)}) if ranked else ""
-        signs, shaped = len(JOINED.findall(around)), SHAPES.search(around) is not None
+                out.append((new, cost, langs, step))
+
+        raws: dict[bytes, str] = {}
+        # A character of several bytes is two beyond ASCII of a single-byte encoding or more, or such and digits in turn (gb18030).
+        if LONG_RUN.search(text):
+            for read in same.reads:
+                raw = to_bytes(text, read)
+                if raw not in raws:
+                    raws[raw] = read
+                    if UTF8.search(raw):
+                        add(from_utf8(raw), UTF8_COST, tuple(self.dictionaries), f"{read}>utf-8")
+        if same.wide:
+            told = OTHER_COST if foreign(lang).search(text) else HIDDEN_COST
+            for read in READ_WIDE:
+                raw = to_bytes(text, read)
+                add(raw and from_utf8(raw), UTF8_COST, tuple(self.dictionaries), f"{read}>utf-8")
+                raw = to_bytes(text, "gbk") if read == "gb18030" else raw  # two bytes a character; four have digits among them
+                for written in LANGUAGES if raw else ():
+                    if written != read:
+                        add(self.narrowed(raw, written, text, lang), told, LANGUAGES[written], f"{read}>{written}")
+        if same.swaps:
+            for new, cost, written, step in self.swaps(text, lang, chars, same):
+                add(new, cost, LANGUAGES[written], step)
+        if raws:
+            n = len(text) - len(text.encode("ascii", "ignore"))
+            likely = n >= 4 and (lang in SCRIPTS or n * 3 > len(text))
+            for raw, read in raws.items():
+                for written in WRITTEN_WIDE:
+                    new = decoded(raw, written, likely)
+                    if new and not SANDWICH.search(new):
+                        add(new, OTHER_COST if likely else HIDDEN_COST, LANGUAGES[written], f"{read}>{written}")
+        return out
+
+    @staticmethod
+    def narrowed(raw: bytes, written: str, text: str, lang: str) -> str | None:
+        """Bytes that were read in an East Asian encoding, as written in another; None if that leaves odd or foreign characters."""
+        if written in WRITTEN_WIDE:
+            new = decoded(raw, written, True)
+            return new if new and not SANDWICH.search(new) else None
+        sound, own = plain_bytes(written)
+        bad = len(raw.translate(None, own))
+        if bad and (raw.translate(None, sound) or bad * 10 > len(HIGH.findall(raw)) or bad > len(foreign(lang).findall(text))):
+            return None
+        new = raw.decode(written)
+        return None if shapes(new) else new
+
+    @staticmethod
+    def swaps(text: str, lang: str, chars: str, same: Shared) -> Iterator[tuple[str, int, str, str]]:
+        """(decoded, cost, written, step) of the pairs of single-byte encodings that leave nothing odd and hardly anything foreign."""
+        left = same.swaps
+        strange = [foreign(x) for x in {lang, "en"}]
+        mine = min(len(x.findall(text)) for x in strange) if all(x.search(text) for x in strange) else 0
+        # Some become foreign: no more than there are in the text as it is, and a tenth.
+        most = min(mine, (len(text) - len(text.encode("ascii", "ignore"))) // 10) if mine and left & same.alien else 0
+        if not most:
+            left &= ~same.alien
+        # SHAPES beside letters of ASCII, by the same masks.
+        for before, c, after, alone in set(BESIDE.findall(text)) if left else ():
+            t = turns(c or alone)
+            left &= ~(t.script | (t.capital if before > "Z" else 0) | (t.sign if before and after else 0))
+        if not left:
+            return
+        if most:
+            many = {c: text.count(c) for c in chars}
+            bad = {i: sum(n for c, n in many.items() if turns(c).alien >> i & 1) for i in bits(left)}
+            ranked = sorted((b, i, "".join(swapped(*PAIRS[i])[0][c] for c in chars)) for i, b in bad.items() if b <= most)
+        else:
+            ranked = [(0, i, mapped) for i, mapped in distinct(chars, left)]
+        if not ranked:
+            return
+        around = "\n".join({text[max(0, m.start() - 1) : m.end() + 1] for m in HIGH_RUN.finditer(text)})
+        signs, shaped = len(JOINED.findall(around)), bool(shapes(around))
         tried = set()
-        for bad, read, written, mapped in sorted(ranked):
+        for bad, i, mapped in ranked:
             if mapped in tried:  # other bytes, but the same text
                 continue
             tried.add(mapped)
+            read, written = PAIRS[i]
             near = to_bytes(around, read).decode(written)
-            if SHAPES.search(near):
-                continue
-            new = to_bytes(text, read).decode(written)
-            if new not in seen:
-                seen.add(new)
+            if not shapes(near):
                 fewer = signs - len(JOINED.findall(near))
                 cost = OTHER_COST if bad < mine or shaped or fewer > 0 else HIDDEN_COST
-                out.append((new, cost - ODD_COST * fewer, tuple(WRITTEN[written].split()), f"{read}>{written}"))
-        if n >= 4 and (lang in SCRIPTS or n * 3 > len(text)):
-            for read in reads:
-                raw = to_bytes(text, read)
-                for written, x in WRITTEN_WIDE.items():
-                    if raw is None:
-                        break
-                    new = raw.decode(written, "replace")
-                    if new.count("\ufffd") * 20 <= len(new) and new not in seen and not SANDWICH.search(new):
-                        seen.add(new)
-                        out.append((new, OTHER_COST, (x,), f"{read}>{written}"))
-        return out
+                yield to_bytes(text, read).decode(written), cost - ODD_COST * fewer, written, f"{read}>{written}"
 
     def chain(self, text: str, lang: str) -> tuple[str, list[str]]:
         """The decoding of least description length, step by step until none shortens, and its steps; none if text is best as it is."""
@@ -285,10 +427,19 @@ class Restorer:
             found, options = None, self.candidates(text, lang)
             if options and best < 0:
                 best = min(self.length(text, x) for x in {lang, "en"})
+            reach = BASE_REACH + REACH * sum(c > "\x7f" for c in text) if options else 0
+            own: dict[str, int] = {}  # sizes of the text itself
             for new, cost, langs, step in options:
-                near = [x for x in langs if x in self.dictionaries and (len(langs) < 6 or x in (lang, "en") or not foreign(x).search(new))]
-                for x in near or [lang]:
-                    total = self.length(new, x) + cost
+                cost += ODD_COST * oddities(new)
+                if cost >= best:  # whatever its compressed size
+                    continue
+                for x in [x for x in langs if x in self.dictionaries and (len(langs) < 6 or x in (lang, "en") or not foreign(x).search(new))] or [lang]:
+                    if reach < best:
+                        if x not in own:
+                            own[x] = self.size(text, x)
+                        if own[x] - reach + cost >= best:
+                            continue
+                    total = self.size(new, x) + cost
                     if total < best and not sure:  # the text itself gets the best of all languages, too
                         best, sure = min([best, *(self.length(text, y) for y in self.dictionaries)]), True
                     if total < best and (found is None or total < found[0]):
@@ -303,45 +454,67 @@ class Restorer:
         """The restored text and the steps used, '?' standing for passages whose bytes are lost; no steps if it is sound."""
         if not text:
             return text, []
-        if ENTITY.search(text):  # bytes read wrongly may have been written as character references since
-            plain = html.unescape(text)
-            if not plain.isascii():
-                new, steps = self.restore_plain(plain, lang_tag)
-                return (new, ["html", *steps]) if steps else (text, [])
-        return self.restore_plain(text, lang_tag)
-
-    def restore_plain(self, text: str, lang_tag: str | None) -> tuple[str, list[str]]:
-        """restore() of a text without character references."""
-        if text.isascii():
+        plain = characters(text)  # bytes read wrongly may have been written as character references since
+        if plain.isascii():
             return text, []
         lang = language(lang_tag)
-        if lang is None or self.suspicious(text, lang):
-            near = self.guess(text)
-            if lang is None or near != lang and len(foreign(near).findall(text)) < len(foreign(lang).findall(text)):
+        if lang is None or self.suspicious(plain, lang):
+            near = self.guess(plain)
+            if lang is None or near != lang and len(foreign(near).findall(plain)) < len(foreign(lang).findall(plain)):
                 lang = near
-        new, steps = self.chain(text, lang)
+        new, steps = self.passage(text, lang)
         if not steps:
             new, steps = self.by_passage(text, lang)
-        if LOST.search(new):
+        if self.lost(new, lang):
             steps = [*steps, "?"]
         return new, list(dict.fromkeys(steps))
 
+    def passage(self, text: str, lang: str) -> tuple[str, list[str]]:
+        """chain() of a passage with its character references resolved; as it is, references and all, if that finds nothing."""
+        if text.isascii() and "&" not in text:
+            return text, []
+        known = self._met.get((text, lang))
+        if known is None:
+            plain = characters(text)
+            new, steps = self.chain(plain, lang)
+            known = (new, ["html", *steps] if plain != text else steps) if steps else (text, [])
+            if len(text) <= SHORT:  # menus, notices and footers come again and again
+                if len(self._met) >= REMEMBERED:
+                    self._met.clear()
+                self._met[text, lang] = known
+        return known
+
     def by_passage(self, text: str, lang: str) -> tuple[str, list[str]]:
         """Each line, or each sentence of a line that is best as it is."""
         out, steps = [], []
         for line in text.split("\n"):
-            if not line.isascii():
-                new, own = self.chain(line, lang) if line != text else (line, [])
+            if not line.isascii() or "&" in line:
+                new, own = self.passage(line, lang) if line != text else (line, [])
                 if not own:
                     parts = SENTENCE.findall(line)
                     if len(parts) > 1:
-                        got = [self.chain(p, lang) for p in parts]
+                        got = [self.passage(p, lang) for p in parts]
                         new, own = "".join(p for p, _ in got), [s for _, x in got for s in x]
                 line = new
                 steps += own
             out.append(line)
         return "\n".join(out), steps
 
+    def lost(self, text: str, lang: str) -> bool:
+        """Whether a text, or a line of it, is described by fewer bytes as one whose bytes were lost at some places.
+
+        As it is, replacement characters are part of it, and those in words or runs are oddities; as one with losses it is the text
+        without them, the cost of a loss, and that of each gap.
+        """
+        for part in [text, *text.split("\n")] if "\ufffd" in text else ():
+            gaps = len(LOST.findall(part))
+            if gaps:
+                rest = LOST.sub("", part)
+                shown = min(self.length(part, x) for x in {lang, "en"}) + ODD_COST * sum(map(len, TORN.findall(part)))
+                if min(self.length(rest, x) for x in {lang, "en"}) + LOST_COST + GAP_COST * gaps < shown:
+                    return True
+        return False
+
 
 #: Documents of a language that a dictionary is trained on, characters of each, and bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1200, 2000, 48_000

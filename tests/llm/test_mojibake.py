@@ -78,7 +78,7 @@ def test_passages_without_signs(model, docs):
     [
         "When the bytes of ö are read wrongly they show up as Ã¶ on screen, a classic mistake.",
         "Старые письма порой начинались с «Ïðèâåò»: так выглядит слово «Привет» в чужой кодировке.",
-        "The sign � (U+FFFD) marks a byte that could not be read.",
+        "The sign � (U+FFFD) marks a byte that could not be read.", "The sign � (U+FFFD) marks a lost byte, and a second � marks another.",
         "Lower case and Â plus Ã in one line, and SÃO RÃS as well.",
         "Plain text of ASCII &amp; entities &eacute;", "", None, "a" * 50_000, "née Çelik, naïve café", "\n\n", "��"[:1],
     ],
@@ -105,6 +105,62 @@ def test_lost_bytes_are_found_but_not_restored(model):
     assert steps == ["?"] and new == "S��eci�n en r�atoci�n"
 
 
+def test_losses_take_more_bytes_to_show_than_to_state(model):
+    for text, lang in (("использует файлы cookie. �������", "ru"), ("�ber uns � Anmelden � Warenkorb � Startseite", "de"), ("Wir k�nnen auf gr��er", "de"), ("今天�气很好，我�去公园�步吧。", "zh")):
+        assert model.restore(text, lang) == (text, ["?"])
+
+
+def test_references_outside_a_garbled_passage_stay(model):
+    text = "Write &lt;b&gt; and &amp;amp; for bold.\nHome &Acirc;&middot; News &Acirc;&middot; Archive\nCaf&eacute; &copy; 2020"
+    new, steps = model.restore(text, "en")
+    assert new == "Write &lt;b&gt; and &amp;amp; for bold.\nHome · News · Archive\nCaf&eacute; &copy; 2020" and steps[0] == "html"
+    whole, steps = model.restore("tonham at &acirc;&euro;&oelig;that &lt;i&gt; it", "en")
+    assert whole == "tonham at “that &lt;i&gt; it" and steps
+
+
+@pytest.mark.parametrize("lang,written,read", [("ru", "cp1251", "gbk"), ("el", "cp1253", "gbk"), ("ja", "cp932", "gbk"), ("zh", "gbk", "cp1251"), ("ja", "euc_jp", "cp1252"), ("ru", "utf-8", "gb18030")])
+def test_readings_in_east_asian_encodings(model, docs, lang, written, read):
+    """Texts whose bytes happen to be whole characters of the wrong encoding, so that nothing was lost."""
+    fit = {}
+    for r in docs.itertuples():
+        if mojibake.language(r.lang) == lang and r.text and not model.restore(r.text, r.lang)[1]:
+            for part in (p.strip() for line in r.text.split("\n") for p in mojibake.SENTENCE.findall(line) if len(p) > 12):
+                words = part.split(" ")
+                for k in range(len(words)):
+                    piece = " ".join(words[k:])
+                    try:
+                        bad = piece.encode(written).decode(read) if read[0] == "g" else read_as(piece, written, read)
+                        if bad != piece and len(piece) > 12 and mojibake.to_bytes(bad, read) == piece.encode(written):
+                            fit[piece] = bad
+                            break
+                    except UnicodeError:
+                        pass
+    fit = sorted(fit.items())
+    fit = [(" ".join(x for x, _ in fit[k : k + 4]), " ".join(y for _, y in fit[k : k + 4])) for k in range(0, min(len(fit), 160) - 3, 4)]
+    assert len(fit) > 5
+    got = [model.restore(bad, lang)[0] == piece for piece, bad in fit]
+    assert sum(got) >= 0.8 * len(fit)
+
+
+def test_other_readings_save_no_more_than_the_reach(model, docs):
+    """Sentences read wrongly in any two encodings, with dictionaries of their own and of other languages."""
+    rng, seen = random.Random(9), 0
+    for r in docs.itertuples():
+        lang = mojibake.language(r.lang)
+        for part in mojibake.SENTENCE.findall((r.text or "")[:2000]) if lang in mojibake.LETTERS else ():
+            k = sum(c > "\x7f" for c in part)
+            if 0 < k < 8:
+                try:
+                    read, written = rng.choice(mojibake.PAIRS)
+                    bad = part.encode(written).decode(read)
+                except UnicodeError:
+                    continue
+                for x in (lang, rng.choice(sorted(model.dictionaries))):
+                    seen += 1
+                    assert abs(model.size(bad, x) - model.size(part, x)) <= mojibake.BASE_REACH + mojibake.REACH * k
+    assert seen > 1000
+
+
 def test_long_garbled_text(model):
     text = "Können auf größer werden. " * 4000
     assert model.restore(read_as(text, "utf-8", "cp1252"), "de")[0] == text
