@@ -61,6 +61,7 @@ SHORT, REMEMBERED = 400, 50_000
 #: Bytes that other readings of a text's characters beyond ASCII may save with one dictionary: some at any rate, and some for each. No
 #: bound of the format: of one character at most 15, of two at most 19 were seen (tests).
 BASE_REACH, REACH = 20, 10
+HEAD = 80
 SENTENCE = re.compile(r"[。！？]+|[^\n。！？]*?[.!?]+[\"'»”)\]]*(?=\s|$)\s*|[^\n。！？]+")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 HIGH, ASCII = re.compile(rb"[\x80-\xff]"), bytes(range(128))
@@ -216,6 +217,8 @@ def decoded(raw: bytes, written: str, lossy: bool) -> str | None:
     except UnicodeDecodeError:
         if not lossy or len(raw) < 20:
             return None
+    if (raw[:HEAD].decode(written, "replace").count("\ufffd") - 1) * 20 > len(raw):  # too many already; the last may be cut
+        return None
     new = raw.decode(written, "replace")
     return new if new.count("\ufffd") * 20 <= len(new) else None
 
@@ -240,12 +243,21 @@ def characters(text: str) -> str:
 @lru_cache(256)
 def oddities(text: str) -> int:
     """Number of the oddities of a text."""
-    return 0 if text.isascii() else len(shapes(text)) + len(ODD.findall(text))
+    return 0 if text.isascii() else (len(SHAPES.findall(text)) if SHAPED.search(text) else 0) + len(ODD.findall(text))
+
+
+def misshapen(text: str) -> bool:
+    """Whether a text has one of SHAPES; most have no character that may be part of one."""
+    return SHAPED.search(text) is not None and SHAPES.search(text) is not None
+
+
+def joints(text: str) -> int:
+    return len(JOINED.findall(text)) if JOINT.search(text) else 0
 
 
-def shapes(text: str) -> list[str]:
-    """All of SHAPES in a text; most texts have no character that may be part of one."""
-    return SHAPES.findall(text) if SHAPED.search(text) else []
+def beyond(text: str) -> int:
+    """Number of characters beyond ASCII."""
+    return len(text) - len(text.encode("ascii", "ignore"))
 
 
 @lru_cache(None)
@@ -318,7 +330,7 @@ class Restorer:
         """Whether a text has characters foreign to its language or looks like bytes read wrongly, so that its language is in doubt."""
         if text.isascii():
             return False
-        if "\ufffd" in text or C1.search(text) or shapes(text) or lang is None or foreign(lang).search(text):
+        if "\ufffd" in text or C1.search(text) or misshapen(text) or lang is None or foreign(lang).search(text):
             return True
         for read in ("cp1252", "cp1251", "cp1250", "mac_roman", "cp850") if LONG_RUN.search(text) else ():
             raw = text.encode(read, "replace")
@@ -359,7 +371,7 @@ class Restorer:
             for new, cost, written, step in self.swaps(text, lang, chars, same):
                 add(new, cost, LANGUAGES[written], step)
         if raws:
-            n = len(text) - len(text.encode("ascii", "ignore"))
+            n = beyond(text)
             likely = n >= 4 and (lang in SCRIPTS or n * 3 > len(text))
             for raw, read in raws.items():
                 for written in WRITTEN_WIDE:
@@ -376,10 +388,10 @@ class Restorer:
             return new if new and not SANDWICH.search(new) else None
         sound, own = plain_bytes(written)
         bad = len(raw.translate(None, own))
-        if bad and (raw.translate(None, sound) or bad * 10 > len(HIGH.findall(raw)) or bad > len(foreign(lang).findall(text))):
+        if bad and (raw.translate(None, sound) or bad * 10 > len(raw.translate(None, ASCII)) or bad > len(foreign(lang).findall(text))):
             return None
         new = raw.decode(written)
-        return None if shapes(new) else new
+        return None if misshapen(new) else new
 
     @staticmethod
     def swaps(text: str, lang: str, chars: str, same: Shared) -> Iterator[tuple[str, int, str, str]]:
@@ -388,7 +400,7 @@ class Restorer:
         strange = [foreign(x) for x in {lang, "en"}]
         mine = min(len(x.findall(text)) for x in strange) if all(x.search(text) for x in strange) else 0
         # Some become foreign: no more than there are in the text as it is, and a tenth.
-        most = min(mine, (len(text) - len(text.encode("ascii", "ignore"))) // 10) if mine and left & same.alien else 0
+        most = min(mine, beyond(text) // 10) if mine and left & same.alien else 0
         if not most:
             left &= ~same.alien
         # SHAPES beside letters of ASCII, by the same masks.
@@ -406,7 +418,7 @@ class Restorer:
         if not ranked:
             return
         around = "\n".join({text[max(0, m.start() - 1) : m.end() + 1] for m in HIGH_RUN.finditer(text)})
-        signs, shaped = len(JOINED.findall(around)), bool(shapes(around))
+        signs, shaped = joints(around), misshapen(around)
         tried = set()
         for bad, i, mapped in ranked:
             if mapped in tried:  # other bytes, but the same text
@@ -414,8 +426,8 @@ class Restorer:
             tried.add(mapped)
             read, written = PAIRS[i]
             near = to_bytes(around, read).decode(written)
-            if not shapes(near):
-                fewer = signs - len(JOINED.findall(near))
+            if not misshapen(near):
+                fewer = signs - joints(near)
                 cost = OTHER_COST if bad < mine or shaped or fewer > 0 else HIDDEN_COST
                 yield to_bytes(text, read).decode(written), cost - ODD_COST * fewer, written, f"{read}>{written}"
 
@@ -427,7 +439,7 @@ class Restorer:
             found, options = None, self.candidates(text, lang)
             if options and best < 0:
                 best = min(self.length(text, x) for x in {lang, "en"})
-            reach = BASE_REACH + REACH * sum(c > "\x7f" for c in text) if options else 0
+            reach = BASE_REACH + REACH * beyond(text) if options else 0
             own: dict[str, int] = {}  # sizes of the text itself
             for new, cost, langs, step in options:
                 cost += ODD_COST * oddities(new)
