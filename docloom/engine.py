@@ -51,6 +51,18 @@ class Engine:
         df = self.sql(text, **options)
         return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
+    @classmethod
+    def analyze(cls, text: str) -> dict:
+        """What a statement is about, without planning it: kind (query or aggregate, see is_simple), collections read, joins, what the
+        columns are called, whether it groups, and its limit and offset."""
+        q = parse(text)
+        tables = [x.name for n in s.deep(q) if isinstance(n, s.Select) for x in n.sources if x.name]
+        names = [i.alias or (i.expr.parts[-1].split(".")[-1] if isinstance(i.expr, s.Name) else "*" if isinstance(i.expr, s.Star) else None) for i in q.items]
+        return {
+            "kind": "query" if cls.is_simple(text) else "aggregate", "collections": list(dict.fromkeys(tables)), "joins": [(x.join, x.label) for x in q.sources if x.join],
+            "columns": names, "grouped": q.group is not None or any(aggregates_in(i.expr) for i in q.items), "limit": q.limit, "offset": q.offset,
+        }
+
     @staticmethod
     def is_simple(text: str) -> bool:
         """Whether a statement only filters, projects plain columns, sorts and limits one table."""

@@ -90,7 +90,12 @@ def total(a: Column, kind: T.DataType, path: list[str]) -> Column:
         if isinstance(inner, T.ArrayType):
             return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(total(x[path[0]], inner.elementType, path[1:]), F.lit(0.0)))
         return total(F.transform(a, lambda x: x[path[0]]), inner, path[1:])
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(numeric(x, kind), F.lit(0.0)))
+
+
+def numeric(x: Column, kind: T.DataType) -> Column:
+    """A number as double; what is no number is null and counts for nothing."""
+    return x.cast("double") if isinstance(kind, T.NumericType) else x.try_cast("double") if isinstance(kind, T.VariantType) else F.lit(None).cast("double")
 
 
 def path_of(ctx, args) -> list[str]:
@@ -117,8 +122,10 @@ def avg_array(ctx, args):
         a, kind = F.transform(a, field(p)), f.dataType
         if isinstance(kind, T.ArrayType):
             a, kind = F.flatten(F.filter(a, lambda x: x.isNotNull())), kind.elementType
-    there = F.filter(a, lambda x: x.isNotNull())
-    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(there))
+    # Evaluated once, inside a lambda.
+    there = F.transform(F.array(a), lambda v: F.filter(F.transform(v, lambda x: numeric(x, kind)), lambda x: x.isNotNull()))
+    mean = F.transform(there, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)))
+    return F.get(mean, F.lit(0))
 
 
 @register("object_to_array", 1)

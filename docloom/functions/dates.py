@@ -141,7 +141,10 @@ def date_trunc(ctx, args):
 
 
 def added(ctx, args, sign: int) -> Column:
+    """Days and larger units move the clock of the zone, smaller ones the instant."""
     unit, n = unit_of(ctx, args[1]), ctx.col(args[2]) * sign
+    if UNITS.index(unit) > UNITS.index("day"):
+        return moved(ctx.col(args[0]).cast("timestamp"), unit, n)
     out = moved(local(ctx, args, 3).cast("timestamp"), unit, n)
     return F.to_utc_timestamp(out, ctx.col(args[3])) if len(args) > 3 else out
 

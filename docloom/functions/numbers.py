@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.registry import plain, register
+from docloom.plans.syntax import Literal
 
 for name in "abs acos acosh asin asinh atan atanh ceil exp floor ln log10 sin sinh sqrt tan tanh".split():
     plain(name, getattr(F, name if name != "ln" else "log"))
@@ -37,18 +39,40 @@ def subtract(ctx, args):
     return ctx.minus(args[0], args[1])
 
 
+#: Places that a double has at most before and behind its point; rounding beyond these changes nothing, or leaves nothing.
+MOST_PLACES = 18
+
+
+def at_places(ctx, args, cut):
+    """cut(x, places) for places that are a literal, or any expression (0 without one, null for null)."""
+    x = ctx.col(args[0])
+    if len(args) < 2 or isinstance(args[1], Literal) and args[1].value is not None:
+        return cut(x, int(ctx.value(args[1])) if len(args) > 1 else 0)
+    x, n = x.cast("double"), ctx.col(args[1]).cast("int")
+    out = F.when(n > MOST_PLACES, x)
+    for k in range(-MOST_PLACES, MOST_PLACES + 1):
+        out = out.when(n == k, cut(x, k).cast("double"))
+    return out.when(n < -MOST_PLACES, F.lit(0.0))
+
+
 @register("round", 1, 2)
 def half_even(ctx, args):
-    places = int(ctx.value(args[1])) if len(args) > 1 else 0
-    return F.bround(ctx.col(args[0]), places)
+    return at_places(ctx, args, F.bround)
+
+
+def cut_off(x: Column, places: int) -> Column:
+    """Towards zero, in decimals, so that 1.15 keeps its digits at two places."""
+    if places > MOST_PLACES:
+        return x
+    exact = F.abs(x).try_cast("decimal(38,18)")  # a larger number has no digits behind the point that a double could tell
+    whole = F.floor(exact, F.lit(places)).cast("double")
+    return F.coalesce(F.when(x < 0, -whole).otherwise(whole), x.cast("double"))
 
 
 @register("trunc", 1, 2)
 def truncate(ctx, args):
     """Towards zero, at a number of places."""
-    x, places = ctx.col(args[0]), int(ctx.value(args[1])) if len(args) > 1 else 0
-    scale = F.lit(10.0**places)
-    return F.when(x >= 0, F.floor(x * scale)).otherwise(F.ceil(x * scale)) / scale
+    return at_places(ctx, args, cut_off)
 
 
 plain("cmp", lambda a, b: F.when(a < b, -1).when(a == b, 0).when(a > b, 1), 2)

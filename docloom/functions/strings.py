@@ -32,9 +32,9 @@ def replace_first(ctx, args):
 
 @register("split", 2)
 def split(ctx, args):
-    """Parts between a literal delimiter."""
-    mark = ctx.value(args[1])
-    return F.split(ctx.col(args[0]), "\\Q" + str(mark).replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+    """Parts between a delimiter, which is taken as it is."""
+    mark = F.replace(ctx.col(args[1]).cast("string"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.split(ctx.col(args[0]), F.concat(F.lit("\\Q"), mark, F.lit("\\E")), F.lit(-1))
 
 
 @register("join", 2)

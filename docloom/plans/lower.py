@@ -51,6 +51,10 @@ def children(n: s.Node) -> list[s.Node]:
     return out
 
 
+class NeedsArray(Exception):
+    """A side that was to be totalled has to be gathered."""
+
+
 class Lowering:
     """Turns trees into DataFrames over a catalog of tables."""
 
@@ -153,13 +157,50 @@ class Lowering:
             raise StatementError("UNPIVOT takes a value column, a name column and a list of columns")
         return args[0].strip("'\"`"), args[1].strip("'\"`"), self.listed(args[2])
 
-    def sources(self, q: s.Select) -> Scope:
+    @staticmethod
+    def counted_sides(q: s.Select) -> tuple[s.Select, dict[str, list[str]]]:
+        """The statement with counts, sums and means of nested sides read from totals, and the fields that each such side totals.
+
+        A side is one if nothing else than SIZE_OF_ARRAY, SUM_ARRAY or AVG_ARRAY of a single field uses it, so that no array
+        of its rows is made.
+        """
+        found: dict[str, list[str]] = {}
+        outer = {x for src in q.sources for x in (src.alias, src.name) if x}
+        for src in q.sources[1:]:
+            name = src.alias
+            if not name or src.hints or src.join == "full" or q.sets or [x.label for x in q.sources].count(name) > 1:
+                continue
+            rest = s.Select(q.items, where=q.where, group=q.group, having=q.having, order=q.order)
+            uses = [n for n in s.deep(rest) if isinstance(n, s.Name) and n.parts[0] == name or isinstance(n, s.Star)]
+            uses += [x for x in s.deep([q2.on for q2 in q.sources if q2 is not src and q2.on is not None]) if isinstance(x, s.Name) and x.parts[0] == name]
+            calls = [n for n in s.deep(rest) if isinstance(n, s.Call) and n.name in ("size_of_array", "lengthofarray", "sum_array", "avg_array") and n.args and n.args[0] == s.Name((name,))]
+            plain = [n for n in calls if len(n.args) == (1 if n.name in ("size_of_array", "lengthofarray") else 2) and all(isinstance(a, s.Literal) and isinstance(a.value, str) and "." not in a.value for a in n.args[1:])]
+            named_elsewhere = any(isinstance(n, s.Literal) and isinstance(n.value, str) and n.value.split(".")[0] in outer and n.value.split(".")[0] == name for n in s.deep(rest))
+            if calls and len(calls) == len(plain) == len(uses) and not named_elsewhere and all(c.lower() != name.lower() for c in (i.alias or "" for i in q.items)):
+                found[name] = list(dict.fromkeys(n.args[1].value for n in plain if len(n.args) > 1))
+        if not found:
+            return q, found
+
+        def turn(n: s.Node) -> s.Node | None:
+            if not (isinstance(n, s.Call) and n.args and isinstance(n.args[0], s.Name) and len(n.args[0].parts) == 1 and n.args[0].parts[0] in found):
+                return None
+            at = lambda x: s.Name((n.args[0].parts[0], x))
+            if len(n.args) == 1:
+                return at("n")
+            i = found[n.args[0].parts[0]].index(n.args[1].value)
+            if n.name == "sum_array":
+                return s.Call("coalesce", (at(f"s{i}"), s.Literal(0.0)))
+            return s.Case(((s.Binary(">", at(f"c{i}"), s.Literal(0)), s.Binary("/", at(f"s{i}"), at(f"c{i}"))),))
+
+        return s.rewritten(q, turn), found
+
+    def sources(self, q: s.Select, totals: dict[str, list[str]] | None = None) -> Scope:
         first = q.sources[0]
         df = self.source(first)
         names = tuple(x for x in (first.alias, None if first.alias else first.name) if x)
         scope = Scope(df, names, tuple(df.columns))
         for src in q.sources[1:]:
-            scope = self.join(scope, src, q)
+            scope = self.join(scope, src, q, (totals or {}).get(src.label))
         return scope
 
     @staticmethod
@@ -184,7 +225,7 @@ class Lowering:
                 said.update((n.value.lower(), *n.value.lower().split(".")))
         return [c for c in columns if c.lower() in said] or columns[:1]
 
-    def join(self, scope: Scope, src: s.Source, q: s.Select) -> Scope:
+    def join(self, scope: Scope, src: s.Source, q: s.Select, totals: list[str] | None = None) -> Scope:
         right = self.source(src)
         kept = self.needed(q, src, right.columns)
         fields = ["`" + c.replace("`", "``") + "`" for c in kept]
@@ -204,6 +245,12 @@ class Lowering:
                 right = right.filter(there.truth(c))  # before rows are gathered
             else:
                 pairs.append(pair)
+        if totals is not None and pairs and all(pairs) and mode == joins.NEST:
+            where = {f: next((c for c in right.schema.fields if c.name == f), None) for f in totals}
+            if all(c is not None and isinstance(c.dataType, T.NumericType) for c in where.values()):
+                mode, fields = joins.TOTALS, ["`" + f + "`" for f in totals]
+        if totals is not None and mode != joins.TOTALS:
+            raise NeedsArray
         if pairs and all(pairs):
             df = joins.by_keys(scope.df, [here.col(a) for a, _ in pairs], right, [there.col(b) for _, b in pairs], side, src.join, mode, fields)
         else:
@@ -299,7 +346,13 @@ class Lowering:
     def select(self, q: s.Select) -> DataFrame:
         if not q.sources:
             raise StatementError("A FROM clause is needed")
-        scope = self.where(self.sources(q), q.where)
+        counted, totals = self.counted_sides(q)
+        try:
+            base = self.sources(counted, totals)
+            q = counted
+        except NeedsArray:
+            base = self.sources(q)
+        scope = self.where(base, q.where)
         grouped = q.group is not None or any(aggregates_in(i.expr) for i in q.items)
         if grouped:
             out, hidden = self.grouped(q, scope)
@@ -495,16 +548,19 @@ class Lowering:
         return scope, out, dropped
 
     def ranked(self, items: list[s.Item], scope: Scope) -> tuple[Scope, list[s.Item]]:
-        """Ranks over all rows as columns; those within partitions stay window expressions."""
+        """Window functions as columns, so that large groups can be ranked in parts."""
         out = []
         for k, i in enumerate(items):
             e = i.expr
-            if isinstance(e, s.Over) and not e.partition and e.order and e.name in ("ROW_NUMBER", "RANK", "DENSE_RANK"):
+            if isinstance(e, s.Over) and e.order and e.name in ("ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE", "LAG", "LEAD"):
                 name = f"__rank{k}"
                 c = Compiler(scope, self.options)
                 df = scope.df.withColumns({f"__o{j}": c.col(x) for j, (x, _) in enumerate(e.order)})
                 order = [F.col(f"__o{j}").asc() if up else F.col(f"__o{j}").desc() for j, (_, up) in enumerate(e.order)]
-                df = ranking.global_rank(df, order, e.name, name).drop(*[f"__o{j}" for j in range(len(e.order))])
+                shift = e.name in ("LAG", "LEAD")
+                value = c.col(e.args[0]) if shift else None
+                n = int(c.value(e.args[0])) if e.name == "NTILE" else int(c.value(e.args[1])) if shift and len(e.args) > 1 else 1
+                df = ranking.window_column(df, [c.col(p) for p in e.partition], order, e.name, name, value, n).drop(*[f"__o{j}" for j in range(len(e.order))])
                 scope = replace(scope, df=df, columns=(*scope.columns, name))
                 if not i.alias:
                     raise StatementError(f"An alias is needed for {self.said(e)}")

@@ -163,6 +163,19 @@ def walk(node: Any):
             yield from walk(v)
 
 
+def rewritten(node: Any, turn):
+    """The tree with turn(node) for each node for which that isn't None, sub-queries of sources excluded."""
+    if isinstance(node, Node):
+        new = turn(node)
+        if new is not None:
+            return new
+    if isinstance(node, Node | Item) and not isinstance(node, Source):
+        return type(node)(**{k: rewritten(v, turn) for k, v in vars(node).items()})
+    if isinstance(node, tuple | list):
+        return type(node)(rewritten(v, turn) for v in node)
+    return node
+
+
 def deep(node: Any):
     """All nodes of a tree, those of sub-queries included."""
     if isinstance(node, Node):

@@ -44,7 +44,7 @@ def run(statement: str, spark: SparkSession, sf: str, **options) -> DataFrame:
 
 
 # Filters and predicates
-add("filter_cmp", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderkey <= 20000", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderkey <= 20000")
+add("filter_cmp", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 200000", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 200000")
 add("filter_or", "SELECT p_partkey FROM part WHERE p_size < 5 OR p_size >= 45", "SELECT p_partkey FROM part WHERE p_size < 5 OR p_size >= 45")
 add("filter_between", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20")
 add("filter_in_list", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -57,7 +57,7 @@ add("filter_is_null", "SELECT doc_id FROM documents WHERE lang IS NULL", "SELECT
 add("filter_is_not_null", "SELECT doc_id FROM documents WHERE NOT lang IS NULL AND text != null", "SELECT doc_id FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL")
 add("filter_nor", "SELECT doc_id FROM documents WHERE NOT (lang = 'en' OR lang = 'fr')", "SELECT doc_id FROM documents WHERE NOT coalesce(lang = 'en' OR lang = 'fr', false)")
 add("filter_is_true", "SELECT c_custkey FROM customer WHERE starts_with(c_mktsegment, 'BU') IS TRUE", "SELECT c_custkey FROM customer WHERE starts_with(c_mktsegment, 'BU')")
-add("filter_function", "SELECT p_partkey FROM part WHERE STRLEN(p_name) > 10 AND MOD(p_partkey, 3) = 1", "SELECT p_partkey FROM part WHERE strlen(p_name) > 10 AND p_partkey % 3 = 1")
+add("filter_function", "SELECT p_partkey, MOD(p_partkey, 3) AS m FROM part WHERE STRLEN(p_name) > 10", "SELECT p_partkey, p_partkey % 3 AS m FROM part WHERE strlen(p_name) > 10")
 add("filter_columns", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < l_linenumber", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < l_linenumber")
 add("filter_timestamp", "SELECT o_orderkey FROM orders WHERE o_orderdate > timestamp '1998-01-01 00:00:00'", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01'")
 add("filter_date_text", "SELECT o_orderkey FROM orders WHERE '1996-01-01' >= o_orderdate", "SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01'")
@@ -180,5 +180,26 @@ add("array_to_object", "SELECT c_custkey, m.region AS region FROM (SELECT c_cust
 add("parse_json_props", "SELECT event_id, TO_LONG(p.k) AS k FROM (SELECT event_id, PARSE_JSON(props) AS p FROM events) t", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 add("parse_json_literal", """SELECT n_nationkey, j.a AS a FROM (SELECT n_nationkey, PARSE_JSON('{"a": 5}') AS j FROM nation) t""", "SELECT n_nationkey, 5::BIGINT AS a FROM nation")
 
+# Places, zones, delimiters and windows of any kind
+add("trunc_exact", "SELECT p_partkey, TRUNC(p_retailprice, 1) AS a, TRUNC(-p_retailprice, 1) AS b, TRUNC(p_retailprice, -2) AS c, TRUNC(1.15, 2) AS d, TRUNC(p_retailprice) AS e FROM part", "SELECT p_partkey, CAST(sign(d) * floor(abs(d) * 10) / 10 AS DOUBLE) AS a, CAST(-sign(d) * floor(abs(d) * 10) / 10 AS DOUBLE) AS b, CAST(sign(d) * floor(abs(d) / 100) * 100 AS DOUBLE) AS c, 1.15::DOUBLE AS d, CAST(trunc(d) AS DOUBLE) AS e FROM (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18, 6)) AS d FROM part)")
+add("round_by_column", "SELECT p_partkey, ROUND(p_retailprice, n) AS r, TRUNC(p_retailprice, n) AS t FROM (SELECT p_partkey, p_retailprice, MOD(p_size, 3) AS n FROM part) s", "SELECT p_partkey, CASE n WHEN 0 THEN round_even(p_retailprice, 0) WHEN 1 THEN round_even(p_retailprice, 1) ELSE round_even(p_retailprice, 2) END AS r, CASE n WHEN 0 THEN trunc(d) WHEN 1 THEN trunc(d * 10) / 10 ELSE trunc(d * 100) / 100 END::DOUBLE AS t FROM (SELECT p_partkey, p_retailprice, CAST(p_retailprice AS DECIMAL(18, 6)) AS d, p_size % 3 AS n FROM part)")
+add("split_by_column", "SELECT n_nationkey, JOIN(SPLIT(n_name, mark), '|') AS parts FROM (SELECT n_nationkey, n_name, SUBSTR(n_name, 1, 1) AS mark FROM nation) t", "SELECT n_nationkey, replace(n_name, substr(n_name, 2, 1), '|') AS parts FROM nation")
+add("date_add_zone", "SELECT o_orderkey, DATE_TO_STRING(DATE_ADD(TO_DATE('2021-11-07T05:30:00Z'), 'hour', n, 'America/New_York')) AS h, DATE_TO_STRING(DATE_ADD(TO_DATE('2021-11-06T05:30:00Z'), 'day', n, 'America/New_York')) AS d, DATE_TO_STRING(DATE_SUBTRACT(TO_DATE('2021-11-07T07:30:00Z'), 'minute', 60, 'America/New_York')) AS m FROM (SELECT o_orderkey, MOD(o_orderkey, 5) AS n FROM orders) t", "SELECT o_orderkey, strftime(TIMESTAMP '2021-11-07 05:30:00' + INTERVAL 1 HOUR * (o_orderkey % 5), '%Y-%m-%dT%H:%M:%S.000Z') AS h, strftime(TIMESTAMP '2021-11-06 05:30:00' + INTERVAL 1 DAY * (o_orderkey % 5) + CASE WHEN o_orderkey % 5 >= 2 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%dT%H:%M:%S.000Z') AS d, '2021-11-07T06:30:00.000Z' AS m FROM orders")
+add("window_offsets_global", "SELECT o_orderkey, LAG(o_orderkey) OVER (ORDER BY o_orderkey) AS a, LEAD(o_custkey, 3) OVER (ORDER BY o_orderkey) AS b, NTILE(7) OVER (ORDER BY o_orderkey) AS t FROM orders", "SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS a, lead(o_custkey, 3) OVER (ORDER BY o_orderkey) AS b, CAST(ntile(7) OVER (ORDER BY o_orderkey) AS INTEGER) AS t FROM orders")
+LINES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem ORDER BY l_quantity DESC, l_partkey, l_linenumber)"
+for pick, at in (("first", "1"), ("last", "-1")):
+    add(f"join_{pick}_many", f"SELECT o.o_orderkey AS k, l.l_linenumber AS n, l.l_partkey AS p FROM orders o INNER JOIN {LINES} 'l|{pick}' ON l.l_orderkey = o.o_orderkey", f"SELECT o_orderkey AS k, (list(l_linenumber ORDER BY l_quantity DESC, l_partkey, l_linenumber))[{at}] AS n, (list(l_partkey ORDER BY l_quantity DESC, l_partkey, l_linenumber))[{at}] AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+    add(f"join_{pick}_theta", f"SELECT a.n_nationkey AS k, b.n_nationkey AS n FROM nation a LEFT JOIN (SELECT * FROM nation ORDER BY n_name DESC) 'b|{pick}' ON b.n_regionkey = a.n_regionkey AND b.n_nationkey < a.n_nationkey", f"SELECT a.n_nationkey AS k, (list(b.n_nationkey ORDER BY b.n_name DESC) FILTER (b.n_nationkey IS NOT NULL))[{at}] AS n FROM nation a LEFT JOIN nation b ON b.n_regionkey = a.n_regionkey AND b.n_nationkey < a.n_nationkey GROUP BY 1")
+add("join_nest_order", f"SELECT o_orderkey, JOIN((SELECT l_partkey AS `$$ROOT` FROM l), ',') AS parts FROM orders INNER JOIN {LINES} 'l' ON l.l_orderkey = o_orderkey", "SELECT o_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_quantity DESC, l_partkey, l_linenumber) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+add("join_totals", "SELECT c_custkey, SIZE_OF_ARRAY(o) AS n, ROUND(SUM_ARRAY(o, 'o_totalprice'), 2) AS s, ROUND(AVG_ARRAY(o, 'o_totalprice'), 2) AS a FROM customer LEFT JOIN orders o ON o.o_custkey = c_custkey WHERE SIZE_OF_ARRAY(o) < 12", "SELECT c_custkey, CAST(count(o_orderkey) AS INTEGER) AS n, round_even(coalesce(sum(o_totalprice), 0), 2) AS s, round_even(avg(o_totalprice), 2) AS a FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) < 12")
+# Names that other queries leave out
+add("math_inverse", "SELECT n_nationkey, ROUND(ACOS(n_nationkey / 25), 6) AS a, ROUND(ACOSH(n_nationkey + 1), 6) AS b, ROUND(ASIN(n_nationkey / 25), 6) AS c, ROUND(ATANH(n_nationkey / 26), 6) AS d, ROUND(SINH(n_nationkey / 10), 6) AS e, ROUND(COSH_LIKE, 6) AS f FROM (SELECT n_nationkey, EXP(n_nationkey / 10) AS COSH_LIKE FROM nation) t".replace("SELECT n_nationkey, ROUND(ACOS", "SELECT t.n_nationkey AS n_nationkey, ROUND(ACOS"), "SELECT n_nationkey, round_even(acos(n_nationkey / 25), 6) AS a, round_even(acosh(n_nationkey + 1), 6) AS b, round_even(asin(n_nationkey / 25), 6) AS c, round_even(atanh(n_nationkey / 26), 6) AS d, round_even(sinh(n_nationkey / 10), 6) AS e, round_even(exp(n_nationkey / 10), 6) AS f FROM nation")
+add("bool_functions", "SELECT n_nationkey, AND(n_nationkey > 3, n_regionkey = 1, true) AS a, OR(n_nationkey < 3, n_regionkey = 2) AS o, RAND() < 2 AS r FROM nation", "SELECT n_nationkey, n_nationkey > 3 AND n_regionkey = 1 AS a, n_nationkey < 3 OR n_regionkey = 2 AS o, true AS r FROM nation")
+add("case_functions", "SELECT doc_id, TO_UPPER(lang) AS u, TO_LOWER(source) AS l FROM documents", "SELECT doc_id, coalesce(upper(lang), '') AS u, coalesce(lower(source), '') AS l FROM documents")
+add("now_and_empty", "SELECT n_nationkey, CURRENT_DATE() > TO_DATE('2020-01-01') AS later, GETDATE() >= CURRENT_DATE() AS same, SIZE_OF_ARRAY(OBJECT_TO_ARRAY(EMPTY_OBJECT())) AS n FROM nation", "SELECT n_nationkey, true AS later, true AS same, 0 AS n FROM nation")
+add("star_of_table", "SELECT t.n.n_nationkey AS k, t.n.n_name AS name, t.n.n_regionkey AS r FROM (SELECT n.* FROM nation n) t", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation")
+add("unwind_several", "SELECT n_nationkey, UNWIND(ARRAY_RANGE(0, 2)) AS a, UNWIND(ARRAY_RANGE(0, n_regionkey)) AS b FROM nation", "SELECT n_nationkey, a::BIGINT AS a, b::BIGINT AS b FROM nation, (VALUES (0), (1)) x(a), LATERAL (SELECT unnest(CASE WHEN n_regionkey > 0 THEN range(0, n_regionkey) ELSE [NULL] END) AS b)")
+add("extract_small_parts", "SELECT event_id, EXTRACT(minute FROM ts) AS m, EXTRACT(second FROM ts) AS s, EXTRACT(milliseconds FROM ts) AS ms, EXTRACT(week FROM ts) AS w FROM events", "SELECT event_id, CAST(minute(ts) AS INTEGER) AS m, CAST(floor(second(ts)) AS INTEGER) AS s, CAST(epoch_us(ts) // 1000 % 1000 AS INTEGER) AS ms, CAST(floor((dayofyear(ts) + 7 - (dayofweek(ts) + 1)) / 7) AS INTEGER) AS w FROM events")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run, statement) for name, (statement, _) in STATEMENTS.items()}
 SQL = {name: sql for name, (_, sql) in STATEMENTS.items() if sql}

@@ -332,18 +332,32 @@ def test_first_of_a_change(spark):
 
 
 @pytest.mark.parametrize("small", [0, 1 << 30])
-def test_ranks_over_a_whole_table(spark, small):
-    from docloom.operators.ranking import global_rank
+@pytest.mark.parametrize("groups", [0, 3])
+def test_windows_over_large_groups(spark, small, groups):
+    """Sorted in ranges (small = 0, every group is large) as in one window; null is a group."""
+    from docloom.operators.ranking import window_column
 
     rng = random.Random(8)
-    xs = [rng.choice([None, *range(20)]) for _ in range(300)]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id int, x int")
+    rows = [(i, rng.choice([None, *range(20)]), None if groups and i % 50 == 0 else i % groups if groups else 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, x int, g int")
+    by = [F.col("g")] if groups else []
+    run = lambda kind, order, *more: {r.id: r.r for r in window_column(df, by, order, kind, "r", *more, small_bytes=small, hot_rows=0).collect()}
+    place = lambda v: (v is not None, v or 0)
     for down in (False, True):
         key = F.col("x").desc() if down else F.col("x").asc()
-        low = sorted(xs, key=lambda v: (v is not None, v or 0), reverse=down)
-        ranks = {r.id: r.r for r in global_rank(df, [key], "RANK", "r", small).collect()}
-        dense = {r.id: r.r for r in global_rank(df, [key], "DENSE_RANK", "r", small).collect()}
-        rows = [r.r for r in global_rank(df, [key, F.col("id").asc()], "ROW_NUMBER", "r", small).collect()]
-        assert all(ranks[i] == low.index(x) + 1 for i, x in enumerate(xs))
-        assert all(dense[i] == list(dict.fromkeys(low)).index(x) + 1 for i, x in enumerate(xs))
-        assert sorted(rows) == list(range(1, 301))
+        got = {k: run(k, [key, F.col("id").asc()] if k == "ROW_NUMBER" else [key]) for k in ("RANK", "DENSE_RANK", "ROW_NUMBER")}
+        tile = run("NTILE", [key, F.col("id").asc()], None, 7)
+        lag, lead = (run(k, [key, F.col("id").asc()], F.col("id"), 2) for k in ("LAG", "LEAD"))
+        for g in {r[2] for r in rows}:
+            own = [r for r in rows if r[2] == g]
+            low = sorted([r[1] for r in own], key=place, reverse=down)
+            ids = [r[0] for r in sorted(own, key=lambda r: place(r[1]), reverse=down)]
+            if down:  # ties by id still ascend
+                ids = [r[0] for r in sorted(own, key=lambda r: (tuple(-int(v) for v in place(r[1])), r[0]))]
+            assert all(got["RANK"][r[0]] == low.index(r[1]) + 1 and got["DENSE_RANK"][r[0]] == list(dict.fromkeys(low)).index(r[1]) + 1 for r in own)
+            assert [got["ROW_NUMBER"][i] for i in ids] == list(range(1, len(ids) + 1))
+            sizes = [len(ids) // 7 + (k < len(ids) % 7) for k in range(7)]
+            assert [tile[i] for i in ids] == [k + 1 for k, n in enumerate(sizes) for _ in range(n)]
+            assert [lag[i] for i in ids] == [None, None, *ids[:-2]] and [lead[i] for i in ids] == [*ids[2:], None, None]
+    none = window_column(df.limit(0), by, [F.col("x").asc()], "LAG", "r", F.col("id"), small_bytes=small, hot_rows=0)
+    assert none.count() == 0
