@@ -151,17 +151,19 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     for table, key in ((POLICIES, "PolId"), (PREMIUMS, "PolTPId")):
         last = runs.where((F.col("table_name") == table) & (F.col("run_state") == "succeeded")).agg(F.unix_micros(F.max("cutoff_at").cast("timestamp")).alias("c")).first()["c"]
         rows = read_table(spark, sf, table)
-        then, now = incremental.versions_by_arrival(rows, utc_micros(F.col("_dateUpdated")), last)
+        at = utc_micros(F.col("_dateUpdated"))
+        then, now = incremental.versions_by_arrival(rows, at, last)
         key_of = F.coalesce(references.hex_digits(F.col(key)), F.trim(key)).alias("key")
         change = [key_of, utc_micros(F.col("ChangedDate")).alias("changed")]
-        seen = rows.where(utc_micros(F.col("_dateUpdated")) < F.lit(last)).select(*change)
+        consumer = incremental.Consumer(spark, work_path(spark, "consumer"), ["key", "changed"])
+        # The run before wrote neither its version nor what it had seen; both follow from the times of arrival.
+        consumer.adopt(then, rows.where(at < F.lit(last)).select(*change))
+        seen = consumer.seen()
 
-        def step(added: DataFrame, gone: DataFrame, change=change, seen=seen) -> DataFrame:
-            new = added.select(*change, utc_micros(F.col("_dateUpdated")).alias("at"), F.col("_id").alias("row_id"))
+        def step(added: DataFrame, gone: DataFrame, change=change, seen=seen, at=at) -> DataFrame:
+            new = added.select(*change, at.alias("at"), F.col("_id").alias("row_id"))
             return incremental.first_of_change(new, seen, ["key", "changed"], ["at", "row_id"])
 
-        consumer = incremental.Consumer(spark, work_path(spark, "consumer"))
-        consumer.adopt(then)
         consumer.run(rows, now, step)
         got = consumer.output()
         parts.append(got.select(F.lit(table).alias("table_name"), "row_id"))

@@ -1,5 +1,7 @@
 """Edge cases of the general operators on small made tables."""
 
+import glob
+import os
 import random
 
 import pytest
@@ -321,6 +323,58 @@ def test_failed_runs_leave_nothing(spark, tmp_path):
     assert sorted(r.id for r in c.output().collect()) == list(range(20))
 
 
+def test_later_runs_read_new_files_only(spark, tmp_path):
+    """Three runs over a growing table, one of them killed; files of the past can't be read any more, so that any read of them fails."""
+    folder, kind = f"{tmp_path}/t", "id string, key string, changed bigint, at bigint"
+
+    def load(n, rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"file://{folder}")
+        return spark.read.schema(kind).parquet(f"file://{folder}")
+
+    def spoil():
+        for f in glob.glob(f"{folder}/*.parquet"):
+            with open(f, "r+b") as x:
+                x.write(b"spoilt!!" * 8)
+                x.seek(-64, 2)
+                x.write(b"spoilt!!" * 8)
+        for f in glob.glob(f"{folder}/.*.crc"):
+            os.remove(f)
+
+    c = incremental.Consumer(spark, f"file://{tmp_path}/out", ["key", "changed"])
+
+    def step(added, gone):
+        return incremental.first_of_change(added.select("key", "changed", "at", "id"), c.seen(), c.change, ["at", "id"])
+
+    def killed(added, gone):
+        step(added, gone).write.parquet(f"file://{tmp_path}/out/attempt-killed")
+        raise RuntimeError("killed")
+
+    t = load(1, [("a", "k", 1, 1), ("b", "k", 1, 2), ("c", "m", 1, 3)])
+    first = incremental.next_version(t)
+    c.run(t, first, step)
+    spoil()
+    t = load(2, [("d", "k", 1, 4), ("e", "k", 2, 5), ("f", None, None, 6)])
+    second = incremental.next_version(t, first)
+    with pytest.raises(Exception, match="killed"):
+        c.run(t, second, killed)
+    assert sorted(r.id for r in c.output().collect()) == ["a", "c"]
+    again = incremental.Consumer(spark, f"file://{tmp_path}/out", ["key", "changed"])  # another process
+    out = again.run(t, second, step)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["e", "f"]
+    spoil()
+    t = load(3, [("g", None, None, 7), ("h", "k", 2, 8), ("i", "m", 9, 9)])
+    third = incremental.next_version(t, second)
+    assert third.files.count() == 3 and len(t.inputFiles()) == 3
+    out = again.run(t, third, step)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["i"]
+    assert sorted(r.id for r in again.output().collect()) == ["a", "c", "e", "f", "i"] and len(again.commits()) == 3
+    os.remove(glob.glob(f"{folder}/*.parquet")[0])
+    t = spark.read.schema(kind).parquet(f"file://{folder}")
+    fourth = incremental.next_version(t, third)
+    added, gone = incremental.record_delta(t, third, fourth)
+    assert added.count() == 0 and gone.count() == 1 and fourth.files.count() == 2
+
+
 def test_first_of_a_change(spark):
     new = spark.createDataFrame([("k", 1, 5, "b"), ("k", 1, 5, "a"), (None, 1, 3, "c"), (None, 1, 2, "d"), ("z", None, 1, "e"), ("s", 1, 9, "f")], "key string, changed int, at int, row_id string")
     seen = spark.createDataFrame([("s", 1), ("s", 1), (None, 2)], "key string, changed int")
