@@ -43,17 +43,16 @@ def keyed(rows: DataFrame, key: str, at: Column, *also: Column) -> DataFrame:
 
 
 def orphan_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """table_name, field_name, row_id, at, k_hi, k_lo of every orphan of REFERENCES."""
+    """table_name, field_name, row_id, at, k_hi, k_lo of every orphan of REFERENCES, which are swept together."""
     tombs = read_table(spark, sf, "record_tombstones")
-    parts = []
+    refs, parents, ended = [], [], []
     for table, field, to, key in REFERENCES:
-        refs = keyed(read_table(spark, sf, table), field, utc_micros(F.col("_dateUpdated")), F.col("_id").alias("row_id"))
+        name = F.lit(table).alias("table_name")
+        refs.append(keyed(read_table(spark, sf, table), field, utc_micros(F.col("_dateUpdated")), name, F.lit(field).alias("field_name"), F.col("_id").alias("row_id")))
         # A row without readable arrival never came.
-        parents = keyed(read_table(spark, sf, to), key, F.coalesce(utc_micros(F.col("_dateUpdated")), F.lit(NEVER)))
-        ended = keyed(tombs.where(F.col("collection_name") == to), "record_key", F.unix_micros(F.col("deleted_at").cast("timestamp")))
-        found = references.orphans(refs, parents, ended)
-        parts.append(found.select(F.lit(table).alias("table_name"), F.lit(field).alias("field_name"), "row_id", "at", *references.KEY))
-    return union(parts)
+        parents.append(keyed(read_table(spark, sf, to), key, F.coalesce(utc_micros(F.col("_dateUpdated")), F.lit(NEVER)), name))
+        ended.append(keyed(tombs.where(F.col("collection_name") == to), "record_key", F.unix_micros(F.col("deleted_at").cast("timestamp")), name))
+    return references.orphans(union(refs), union(parents), union(ended), by=("table_name",))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,6 +37,23 @@ def test_dense_parents_become_runs(spark):
     assert ids(references.orphans(refs, parents)) == sorted(map(str, (10, 15, 30, 65538, -1)))
 
 
+@pytest.mark.parametrize("hot", [40, 1_000_000])
+def test_dense_keys_with_times_are_compressed(spark, hot):
+    """5,000 consecutive keys, each with an arrival of its own, a gap, and some keys that were deleted and came again."""
+    rng = random.Random(2)
+    births = [("", k, 1000 + rng.randrange(500)) for k in range(5000) if not 2000 <= k < 2100]
+    ends = [("", k, 1600) for k in range(0, 5000, 500)]
+    again = [("", k, 1700) for k in range(0, 5000, 1000)]
+    runs = references.live_runs(keys(spark, births + again), keys(spark, ends)).collect()
+    assert len(runs) < 130 and sum(r.to_lo - r.k_lo + 1 for r in runs if r.lives) == 4900 - 9
+    assert all(r.lives is None or len(r.lives) == r.to_lo - r.k_lo + 1 <= 64 for r in runs)
+    born = {k: t for _, k, t in births}
+    refs = [(f"{i}", rng.randrange(-5, 5005), 900 + rng.randrange(900)) for i in range(2000)]
+    live = lambda k, t: t >= 1700 if k == 2000 else k in born and born[k] <= t and not (k % 500 == 0 and t >= 1600 and not (k % 1000 == 0 and t >= 1700))
+    got = references.orphans(keys(spark, refs), keys(spark, births + again), keys(spark, ends), hot_rows=hot)
+    assert ids(got) == sorted(i for i, k, t in refs if not live(k, t))
+
+
 @pytest.mark.parametrize("hot", [3, 1_000_000])
 def test_liveness(spark, hot):
     rng = random.Random(5)
