@@ -21,7 +21,9 @@ CHUNKS = 256
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """The groups over hot_rows rows, at most count / hot_rows of them; None if there are none."""
+    """The groups over hot_rows rows, at most count / hot_rows of them; None if there are none. df is stored, so that its rows are soon counted."""
+    if df.count() <= hot_rows:
+        return None
     hot = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows), "hot")
     return None if hot.isEmpty() else hot
 

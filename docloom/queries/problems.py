@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.operators import incremental, nested, profile, references
 from docloom.operators.history import Ledger
 from docloom.operators.instants import CANONICAL, utc_micros
-from docloom.operators.offers import dictionary_for, offer_fields, typed_events
+from docloom.operators.offers import dictionary_for, event_batches, offer_fields
 from docloom.operators.wide import WideStore
 from docloom.queries import instants_sql
 from docloom.session import read_table, table_path, work_path
@@ -21,8 +21,6 @@ CUSTOMERS = "ams360_powerbi_customer"
 OFFERS = "flat_offer_history"
 #: referring table, its field, table referred to, key there
 REFERENCES = ((PREMIUMS, "PolId", POLICIES, "PolId"), (POLICIES, "CustId", CUSTOMERS, "CustId"))
-#: Into so many batches at most a table's files are taken.
-BATCHES = 3
 NEVER = references.FOREVER
 ARRAYS = [("jsonObjValues", "nestedObjArray"), ("jsonObjValues", "nestedStrArray"), ("jsonArray",)]
 NUMBER = r"\A-?(?:[0-9]+(?:\.[0-9]{1,4})?|\.[0-9]{1,4})\z"
@@ -63,20 +61,13 @@ def p1_orphans_by_month(spark: SparkSession, sf: str) -> DataFrame:
     return references.by_period(orphan_rows(spark, sf), ["table_name", "field_name"])
 
 
-def batches(spark: SparkSession, sf: str, table: str) -> list[DataFrame]:
-    """A table as at most BATCHES groups of its files, in the order of their names."""
-    whole = read_table(spark, sf, table)
-    files = sorted(whole.inputFiles())
-    k = max(1, -(-len(files) // BATCHES))
-    return [spark.read.schema(whole.schema).parquet(*files[i : i + k]) for i in range(0, len(files), k)] or [whole]
-
-
 def offer_store(spark: SparkSession, sf: str) -> WideStore:
     fields = offer_fields(read_table(spark, sf, "offer_fields"))
     known = dictionary_for(read_table(spark, sf, "feed_zones"))
     store = WideStore(spark, fields)
-    for b in batches(spark, sf, OFFERS):
-        store.upsert(typed_events(b, fields, known).drop("value").withColumnRenamed("written", "value"))
+    for b in event_batches(read_table(spark, sf, OFFERS), fields, known):
+        store.upsert(b.drop("value").withColumnRenamed("written", "value"))
+    store.compact()
     return store
 
 
@@ -112,8 +103,8 @@ def offer_ledger(spark: SparkSession, sf: str) -> Ledger:
     fields = offer_fields(read_table(spark, sf, "offer_fields"))
     known = dictionary_for(read_table(spark, sf, "feed_zones"))
     ledger = Ledger(spark)
-    for b in batches(spark, sf, OFFERS):
-        ledger.record(typed_events(b, fields, known).withColumnRenamed("version", "valid_from"))
+    for b in event_batches(read_table(spark, sf, OFFERS), fields, known):
+        ledger.record(b.withColumnRenamed("version", "valid_from"))
     return ledger
 
 

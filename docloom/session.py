@@ -29,11 +29,14 @@ def build_session(app: str = "docloom", master: str | None = None, shuffle_parti
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a single machine) a temporary folder is set for the session.
+    Where the setting is absent a temporary folder is set for the session, but on one machine only (local masters): executors of a
+    cluster don't share it.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -50,11 +53,14 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    folders: columns whose values are folders, so that a filter on them reads these only.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=folders)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -128,6 +128,8 @@ def test_latest_version_of_each_cell_in_any_batches(spark):
         store.upsert(spark.createDataFrame(rows[k : k + 70], VERSION))
     expect = sorted((e, a, c[1]) for (e, a), c in want.items() if c[2] is not None)
     assert sorted(map(tuple, store.filled().collect())) == expect
+    plan = store.merged(*store.runs[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
     store.compact()
     assert len(store.runs) == 1 and sorted(map(tuple, store.filled().collect())) == expect
     store.upsert(spark.createDataFrame([("e0", "A", 99, "late", None)], VERSION))
