@@ -54,22 +54,40 @@ class Ledger:
         """
         now = len(self.batches) + 1
         events = events.withColumns({c: F.col(v) for c, v in (("written", "value"), ("old_written", "old_value")) if c not in events.columns})
-        new = events.where("entity is not null and attribute is not null and valid_from is not null and row_id is not null").dropDuplicates([*GROUP, "row_id"])
-        if self.batches:
-            touched = new.select(*GROUP).distinct()
-            old = self.current().join(touched, GROUP, "left_semi")
-            new = new.join(old.select(*GROUP, "row_id"), [*GROUP, "row_id"], "left_anti")
-            both = old.unionByName(new.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("next_from", "bigint"), ("next_row", "string"), ("recorded", "bigint"))]))
+        new = events.where("entity is not null and attribute is not null and valid_from is not null and row_id is not null")
+        new = new.select(*[x.split()[0] for x in EVENT.split(", ")], *[F.lit(None).cast(t).alias(c) for c, t in (("next_from", "bigint"), ("next_row", "string"), ("recorded", "bigint"))])
+        both = self._stored().unionByName(new) if self.batches else new
+        if self._small(new):
+            swept = self._swept(both)
         else:
-            both = new.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("next_from", "bigint"), ("next_row", "string"), ("recorded", "bigint"))])
-        both = materialize(both, "events")
-        swept = neighbours(both, GROUP, ORDER, following={"n_from": "valid_from", "n_row": "row_id"}, hot_rows=self.hot_rows)
+            if self.batches:
+                touched = new.select(*GROUP).distinct()
+                old = self.current().join(touched, GROUP, "left_semi")
+                both = old.unionByName(new.join(old.select(*GROUP, "row_id"), [*GROUP, "row_id"], "left_anti"))
+            both = materialize(both.dropDuplicates([*GROUP, "row_id"]), "events")
+            swept = neighbours(both, GROUP, ORDER, following={"n_from": "valid_from", "n_row": "row_id"}, hot_rows=self.hot_rows)
         changed = swept.where(F.col("recorded").isNull() | ~F.col("next_row").eqNullSafe(F.col("n_row")))
         out = f"{self.path}/recorded-{now:06d}"
         names = [x.split()[0] for x in SEGMENT.split(", ")]
         changed.withColumns({"next_from": F.col("n_from"), "next_row": F.col("n_row"), "recorded": F.lit(now).cast("bigint")}).select(*names).write.parquet(out)
         self.batches.append(out)
 
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(SEGMENT).parquet(*self.batches)
+
+    def _small(self, new: DataFrame | None = None) -> bool:
+        """Whether no group can have more rows than one task should sort, as the table and the batch, which are stored, have no more."""
+        rows = self._stored().count() if self.batches else 0
+        return rows <= self.hot_rows and (new is None or rows + new.count() <= self.hot_rows)
+
+    @staticmethod
+    def _swept(both: DataFrame) -> DataFrame:
+        """The last version of each row, or the row itself if it is new, with the one that follows in its group: one exchange."""
+        newest = Window.partitionBy(*GROUP, "row_id").orderBy(F.col("recorded").desc_nulls_last())
+        own = both.repartition(*[F.col(c) for c in GROUP]).withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+        w = Window.partitionBy(*GROUP).orderBy(*ORDER)
+        return own.withColumns({"n_from": F.lead("valid_from").over(w), "n_row": F.lead("row_id").over(w)})
+
     def history(self, as_recorded: int | None = None) -> DataFrame:
         """The periods in which an attribute held one value: entity, attribute, value, written, from_row_id, to_row_id, valid_from, valid_to.
 
@@ -77,13 +95,25 @@ class Ledger:
         stretches are no periods. The old_value of the first event is a period before it, with from_row_id '' and
         valid_from null. to_row_id is '' and valid_to null while the value holds.
         """
-        seg = materialize(self.current(as_recorded).select(*GROUP, *ORDER, "value", "old_value", "written", "old_written"), "segments")
-        lagged = neighbours(seg, GROUP, ORDER, previous={"p_row": "row_id", "p_value": "value"}, hot_rows=self.hot_rows)
+        small = self._small()
+        kept = [*GROUP, *ORDER, "value", "old_value", "written", "old_written"]
+        if small and self.batches:
+            upto = self._stored() if as_recorded is None else self._stored().where(F.col("recorded") <= as_recorded)
+            w = Window.partitionBy(*GROUP).orderBy(*ORDER)
+            lagged = self._swept(upto).select(*kept).withColumns({"p_row": F.lag("row_id").over(w), "p_value": F.lag("value").over(w)})
+        else:
+            seg = materialize(self.current(as_recorded).select(*kept), "segments")
+            lagged = neighbours(seg, GROUP, ORDER, previous={"p_row": "row_id", "p_value": "value"}, hot_rows=self.hot_rows)
         first = F.col("p_row").isNull()
         lagged = lagged.withColumn("before", F.when(first, F.col("old_value")).otherwise(F.col("p_value")))
         start = F.struct(F.lit(None).cast("bigint").alias("valid_from"), F.lit("").alias("row_id"), F.col("old_value").alias("value"), F.col("old_written").alias("written"))
         own = F.struct("valid_from", "row_id", "value", "written")
         moves = F.filter(F.array(F.when(first & F.col("old_value").isNotNull(), start), F.when(~F.col("before").eqNullSafe(F.col("value")), own)), lambda x: x.isNotNull())
-        changes = materialize(lagged.select(*GROUP, F.explode(moves).alias("m")).select(*GROUP, "m.*").withColumn("at", F.coalesce("valid_from", F.lit(-(2**63)))), "changes")
-        out = neighbours(changes, GROUP, ["at", "row_id"], following={"to_row_id": "row_id", "valid_to": "valid_from"}, hot_rows=self.hot_rows)
+        changes = lagged.select(*GROUP, F.explode(moves).alias("m")).select(*GROUP, "m.*").withColumn("at", F.coalesce("valid_from", F.lit(-(2**63))))
+        following = {"to_row_id": "row_id", "valid_to": "valid_from"}
+        if small:
+            w = Window.partitionBy(*GROUP).orderBy("at", "row_id")
+            out = changes.withColumns({k: F.lead(c).over(w) for k, c in following.items()})
+        else:
+            out = neighbours(materialize(changes, "changes"), GROUP, ["at", "row_id"], following=following, hot_rows=self.hot_rows)
         return out.where(F.col("value").isNotNull()).select(*GROUP, "value", "written", F.col("row_id").alias("from_row_id"), F.coalesce("to_row_id", F.lit("")).alias("to_row_id"), "valid_from", "valid_to")
