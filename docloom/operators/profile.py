@@ -106,23 +106,21 @@ class Profile:
         return self._counts
 
     def summary(self) -> DataFrame:
-        """For each column and load (null: all rows): rows, missing, distinct, breaking, least and greatest value."""
+        """For each column and load, and for all rows (is_total): rows, missing, distinct, breaking, least and greatest value."""
         c = self.counts()
-        both = c.unionByName(c.withColumn("load", F.lit(None).cast("bigint")).groupBy("column_name", "load", "value").agg(F.sum("n").alias("n"))) if not self._has_null_load() else c
+        whole = c.groupBy("column_name", "value").agg(F.sum("n").alias("n")).select("column_name", F.lit(None).cast("bigint").alias("load"), "value", "n", F.lit(True).alias("is_total"))
+        both = c.withColumn("is_total", F.lit(False)).unionByName(whole)
         out = None
         for r in self.rules:
             v = F.col("value")
             miss = r.is_missing(v)
-            one = both.where(F.col("column_name") == r.column).groupBy("column_name", "load").agg(
+            one = both.where(F.col("column_name") == r.column).groupBy("column_name", "load", "is_total").agg(
                 F.sum("n").alias("n_rows"), F.sum(F.when(miss, F.col("n")).otherwise(0)).alias("n_missing"), F.count_if(~miss).alias("n_distinct"),
                 F.sum(F.when(~miss & ~r.well_formed(v), F.col("n")).otherwise(0)).alias("n_breaking"), F.min(F.when(~miss, v)).alias("least"), F.max(F.when(~miss, v)).alias("greatest"),
             )
             out = one if out is None else out.unionByName(one)
         return out
 
-    def _has_null_load(self) -> bool:
-        return not self.counts().where(F.col("load").isNull()).isEmpty()
-
     def breaking_rows(self, keep: list[str]) -> DataFrame:
         """column_name and the columns `keep` of each row whose value is neither missing nor well-formed."""
         out = None

@@ -12,8 +12,9 @@ MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def trimmed(c: Column) -> Column:
-    """Without outer white space of any kind."""
-    return F.regexp_replace(c, BLANKS, "")
+    """Without outer white space of any kind; a text that has a visible sign of ASCII at both ends is taken as it is."""
+    sound = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(sound, c).otherwise(F.regexp_replace(c, BLANKS, ""))
 
 
 def folded(c: Column) -> Column:

@@ -52,12 +52,17 @@ def typed(column: str) -> str:
 
 
 ROWS = "SELECT h._id AS row_id, lower(trim(h.ParentId)) AS parent_id, f.field_name, f.value_type, h.OldValue AS ov, h.NewValue AS nv, h.CreatedDate AS raw, h.feed_code FROM flat_offer_history h JOIN offer_fields f ON lower(trim(h.Field)) = lower(f.field_name) WHERE h.ParentId IS NOT NULL"
-EVENTS = f"SELECT parent_id, field_name, us, row_id, new_value, old_value FROM (SELECT *, {typed('nv')} AS new_value, {typed('ov')} AS old_value FROM ({instants(ROWS)}) WHERE us IS NOT NULL) WHERE new_value IS NOT NULL OR nv IS NULL OR lower(trim(nv)) IN ('', 'null')"
+EVENTS = f"SELECT parent_id, field_name, value_type, us, row_id, new_value, old_value, nv, ov FROM (SELECT *, {typed('nv')} AS new_value, {typed('ov')} AS old_value FROM ({instants(ROWS)}) WHERE us IS NOT NULL) WHERE new_value IS NOT NULL OR nv IS NULL OR lower(trim(nv)) IN ('', 'null')"
 #: SQL of p2_found and p4_found.
 CELLS = f"SELECT parent_id, field_name, row_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_id, field_name ORDER BY us DESC, row_id) AS n FROM ({EVENTS})) WHERE n = 1 AND new_value IS NOT NULL"
+VALUES = f"""
+SELECT parent_id, field_name, CASE WHEN value_type = 'text' THEN nv WHEN value_type NOT IN ('decimal', 'integer') THEN new_value END AS text_value, CASE WHEN value_type IN ('decimal', 'integer') THEN CAST(new_value AS DOUBLE) END AS number_value
+FROM (SELECT *, row_number() OVER (PARTITION BY parent_id, field_name ORDER BY us DESC, row_id) AS n FROM ({EVENTS})) WHERE n = 1 AND new_value IS NOT NULL"""
+SHOWN = "CASE WHEN value IS NULL THEN NULL WHEN value_type = 'text' THEN written WHEN value_type = 'decimal' THEN CAST(CAST(value AS DECIMAL(38, 18)) AS VARCHAR) WHEN value_type = 'integer' THEN CAST(CAST(value AS DECIMAL(38, 9))::BIGINT AS VARCHAR) ELSE value END"
 PERIODS = f"""
-SELECT parent_id, field_name, from_row_id, coalesce(lead(from_row_id) OVER (PARTITION BY parent_id, field_name ORDER BY us NULLS FIRST, from_row_id), '') AS to_row_id, value FROM (
-  SELECT parent_id, field_name, us, row_id AS from_row_id, new_value AS value FROM (SELECT *, lag(new_value) OVER w AS before, row_number() OVER w AS n FROM ({EVENTS}) WINDOW w AS (PARTITION BY parent_id, field_name ORDER BY us, row_id))
+SELECT parent_id, field_name, value_type, written, us, lead(us) OVER (PARTITION BY parent_id, field_name ORDER BY us NULLS FIRST, from_row_id) AS to_us, from_row_id, coalesce(lead(from_row_id) OVER (PARTITION BY parent_id, field_name ORDER BY us NULLS FIRST, from_row_id), '') AS to_row_id, value FROM (
+  SELECT parent_id, field_name, value_type, nv AS written, us, row_id AS from_row_id, new_value AS value FROM (SELECT *, lag(new_value) OVER w AS before, row_number() OVER w AS n FROM ({EVENTS}) WINDOW w AS (PARTITION BY parent_id, field_name ORDER BY us, row_id))
   WHERE new_value IS DISTINCT FROM (CASE WHEN n = 1 THEN old_value ELSE before END)
-  UNION ALL SELECT parent_id, field_name, NULL, '', old_value FROM (SELECT *, row_number() OVER (PARTITION BY parent_id, field_name ORDER BY us, row_id) AS n FROM ({EVENTS})) WHERE n = 1 AND old_value IS NOT NULL)"""
+  UNION ALL SELECT parent_id, field_name, value_type, ov, NULL, '', old_value FROM (SELECT *, row_number() OVER (PARTITION BY parent_id, field_name ORDER BY us, row_id) AS n FROM ({EVENTS})) WHERE n = 1 AND old_value IS NOT NULL)"""
+SPANS = f"SELECT parent_id, field_name, {SHOWN} AS value, make_timestamp(us::BIGINT) AS valid_from, make_timestamp(to_us::BIGINT) AS valid_to FROM ({PERIODS}) WHERE value IS NOT NULL"
 PERIODS = f"SELECT parent_id, field_name, from_row_id, to_row_id FROM ({PERIODS}) WHERE value IS NOT NULL"

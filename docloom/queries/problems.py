@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.operators import incremental, nested, profile, references
 from docloom.operators.history import Ledger
 from docloom.operators.instants import CANONICAL, utc_micros
 from docloom.operators.offers import dictionary_for, event_batches, offer_fields
 from docloom.operators.wide import WideStore
-from docloom.queries import instants_sql
+from docloom.queries import instants_sql, objects_sql
 from docloom.session import read_table, table_path, work_path
 
 POLICIES = "ams360_powerbi_basicpolinfo"
@@ -80,6 +81,14 @@ def p2_wide(spark: SparkSession, sf: str) -> DataFrame:
     return offer_store(spark, sf).wide().withColumnRenamed("entity", "parent_id")
 
 
+def p2_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The filled cells of the wide table, one a row: numbers as double, other values as text."""
+    wide = p2_wide(spark, sf)
+    number = [f.name for f in wide.schema.fields if isinstance(f.dataType, T.NumericType)]
+    cells = [F.struct(F.lit(c).alias("field_name"), F.when(F.lit(c not in number), F.col(c).cast("string")).alias("text_value"), (F.col(c).cast("double") if c in number else F.lit(None).cast("double")).alias("number_value")) for c in wide.columns[1:]]
+    return wide.select("parent_id", F.inline(F.array(*cells))).where("text_value is not null or number_value is not null")
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """The nested records of both tables as JSON text."""
     typed = read_table(spark, sf, "function_test_data").select(F.lit("function_test_data").alias("table_name"), F.col("_id").alias("row_id"), F.to_json(F.struct("jsonObjValues", "jsonArray")).alias("payload"))
@@ -171,7 +180,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return d.match(rows, "raw", "feed_code").where(F.col("utc_micros").isNotNull()).drop("raw", "feed_code")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_wide, p3_found, p3_objects, p4_found, p4_periods, p5_found, p5_summary, p5_footers, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_wide, p2_values, p3_found, p3_objects, p4_found, p4_periods, p5_found, p5_summary, p5_footers, p6_found, p7_found)}
 
 #: SQL for those that SQL can express; see tests for the others.
 KEY_SQL = """CASE WHEN length(regexp_replace({0}, '[^0-9A-Fa-f]', '', 'g')) = 32 AND regexp_matches({0}, '[1-9A-Fa-f]') THEN upper(regexp_replace({0}, '[^0-9A-Fa-f]', '', 'g')) END"""
@@ -213,8 +222,16 @@ def breaking_sql(table: str, r: profile.Rule) -> str:
     return f"{bad} UNION ALL {head}, load_no::BIGINT, '' FROM {rows} GROUP BY load_no HAVING count(*) >= 100 AND ({apart})"
 
 
+def summary_sql(table: str, r: profile.Rule) -> str:
+    good = f"{r.column} IN ({', '.join(repr(c) for c in r.codes)})" if r.codes else f"regexp_full_match({r.column}, '-?(?:[0-9]+(?:\\.[0-9]{{1,4}})?|\\.[0-9]{{1,4}})')"
+    rows = f"(SELECT load_no, {r.column} AS v, ({r.column} IS NULL OR {r.column} IN ('', 'NULL')) AS missing, coalesce({good}, false) AS ok FROM {table})"
+    figures = "count(*) AS n_rows, count(*) FILTER (missing) AS n_missing, count(DISTINCT v) FILTER (NOT missing) AS n_distinct, count(*) FILTER (NOT missing AND NOT ok) AS n_breaking, min(v) FILTER (NOT missing) AS least, max(v) FILTER (NOT missing) AS greatest"
+    head = f"SELECT '{table}' AS table_name, '{r.column}' AS column_name"
+    return f"{head}, load_no::BIGINT AS load, false AS is_total, {figures} FROM {rows} GROUP BY load_no UNION ALL {head}, NULL, true, {figures} FROM {rows}"
+
+
 CONTAINER_SQL = """CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({0}, '$')) THEN CASE WHEN json_type(json_extract_string({0}, '$')) IN ('OBJECT', 'ARRAY') THEN json_extract_string({0}, '$')::JSON ELSE {0} END ELSE {0} END ELSE {0} END"""
-CHILDREN_SQL = f"""
+LISTS_SQL = f"""
 WITH texts AS (SELECT _id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM function_test_raw),
 roots AS (SELECT _id, {CONTAINER_SQL.format("j")} AS j FROM texts WHERE j IS NOT NULL),
 objects AS (SELECT _id, j, {CONTAINER_SQL.format("json_extract(j, '$.jsonObjValues')")} AS o FROM roots),
@@ -224,16 +241,26 @@ places AS (
   UNION ALL SELECT _id, 'jsonArray', json_extract(j, '$.jsonArray') FROM objects),
 arrays AS (SELECT _id, array_path, {CONTAINER_SQL.format("a")} AS a FROM places WHERE a IS NOT NULL),
 lists AS (SELECT _id, array_path, CASE json_type(a) WHEN 'ARRAY' THEN json_extract(a, '$[*]') WHEN 'OBJECT' THEN [a] WHEN 'VARCHAR' THEN [a] ELSE [] END AS l FROM arrays),
-each_raw AS (SELECT _id, array_path, unnest(range(len(l))) AS pos, unnest(l) AS e FROM lists),
+each_raw AS (SELECT _id, array_path, unnest(range(len(l))) AS pos, unnest(l) AS e FROM lists)"""
+CHILDREN_SQL = f"""{LISTS_SQL},
 typed AS (
   SELECT _id, 'jsonObjValues.nestedObjArray' AS array_path, unnest(range(len(jsonObjValues.nestedObjArray))) AS pos, unnest(jsonObjValues.nestedObjArray) IS NOT NULL AS there FROM function_test_data
   UNION ALL SELECT _id, 'jsonObjValues.nestedStrArray', unnest(range(len(jsonObjValues.nestedStrArray))), unnest(jsonObjValues.nestedStrArray) IS NOT NULL FROM function_test_data
   UNION ALL SELECT _id, 'jsonArray', unnest(range(len(jsonArray))), unnest(jsonArray) IS NOT NULL FROM function_test_data)
 SELECT 'function_test_raw' AS table_name, _id AS row_id, array_path, pos FROM each_raw WHERE json_type(e) <> 'NULL'
 UNION ALL SELECT 'function_test_data', _id, array_path, pos FROM typed WHERE there"""
+ELEMENTS_SQL = f"""{LISTS_SQL}
+SELECT e::JSON AS e, true AS nulls FROM each_raw WHERE json_type(e) <> 'NULL'
+UNION ALL SELECT e, false FROM (SELECT to_json(unnest(jsonObjValues.nestedObjArray)) AS e FROM function_test_data) WHERE e IS NOT NULL AND e::VARCHAR <> 'null'
+UNION ALL SELECT e, false FROM (SELECT to_json(unnest(jsonObjValues.nestedStrArray)) AS e FROM function_test_data) WHERE e IS NOT NULL AND e::VARCHAR <> 'null'
+UNION ALL SELECT e, false FROM (SELECT to_json(unnest(jsonArray)) AS e FROM function_test_data) WHERE e IS NOT NULL AND e::VARCHAR <> 'null'"""
 SQL: dict[str, str] = {
     "p2_found": instants_sql.CELLS,
+    "p2_values": instants_sql.VALUES,
+    "p4_periods": instants_sql.SPANS,
+    "p5_summary": " UNION ALL ".join(summary_sql(t, r) for t, rules in RULES.items() for r in rules),
     "p3_found": CHILDREN_SQL,
+    "p3_objects": objects_sql.objects(ELEMENTS_SQL),
     "p4_found": instants_sql.PERIODS,
     "p7_found": instants_sql.normalised(INSTANTS),
     "p1_found": f"SELECT table_name, field_name, row_id FROM ({ORPHANS})",

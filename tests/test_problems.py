@@ -42,9 +42,9 @@ def test_summary_adds_up(spark, data):
     rows = problems.p5_summary(spark, data).collect()
     for name in ("Status", "PolType", "Premium"):
         own = [r for r in rows if r.column_name == name]
-        whole = next(r for r in own if r.load is None)
-        assert whole.n_rows == sum(r.n_rows for r in own if r.load is not None)
-        assert whole.n_missing == sum(r.n_missing for r in own if r.load is not None)
+        whole = next(r for r in own if r.is_total)
+        assert whole.n_rows == sum(r.n_rows for r in own if not r.is_total)
+        assert whole.n_missing == sum(r.n_missing for r in own if not r.is_total)
 
 
 def test_texts_come_out_as_written(spark, data):
