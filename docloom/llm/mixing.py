@@ -55,6 +55,7 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed
     passes = F.least(F.col("most"), F.ceil(F.lit(total) / F.col("of_source")).cast("int") + 1)
     uses = line.withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1))).withColumn("finish", finish)
     uses = uses.where(F.col("repeat_no") * F.col("of_source") + F.col("upto") <= F.lit(total)).select("doc_id", "source", "n_tokens", "repeat_no", "finish")
+    uses = materialize(uses, "uses")  # counted, sampled and sorted
     placed = running_sum(uses, ["finish", "source", "doc_id", "repeat_no"], "n_tokens", "place")
     return placed.where(F.col("place") <= F.lit(total))
 

@@ -11,7 +11,7 @@ TEXTS = ["", None, "a", " ", "\n\n \t x", "Hello world", "<|endoftext|> x<|endof
 
 @pytest.fixture(scope="module")
 def known():
-    t = tokenizers.Tokenizer.from_file(f"{tokenizer.VOCABULARIES}/{tokenizer.DEFAULT}")
+    t = tokenizers.Tokenizer.from_file(tokenizer.vocabulary())
     t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
@@ -59,3 +59,26 @@ def test_repeats_clashing_names_and_empty_tables(spark):
     assert sorted((r.k1 or 0, r.value or "", r.ids) for r in got) == [(0, "s", []), (1, "", [64, 275]), (1, "s", [64, 275])]
     assert [r.n_tokens for r in tokenizer.encode_column(df, "k1", "text", counts_only=True).orderBy("k1").collect()] == [0, 2, 2]
     assert tokenizer.encode_column(df.limit(0), "k1", "text").count() == 0
+
+
+def test_other_vocabularies(tmp_path, encoder, known, spark):
+    """The pattern of a file is used, one that isn't built here is refused, and the setting of the session names the folder."""
+    import json
+
+    file = json.load(open(tokenizer.vocabulary(), encoding="utf-8"))
+    own = file | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"\p{N}|[a-z]+"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+    (tmp_path / tokenizer.DEFAULT).write_text(json.dumps(own))
+    path = f"{tmp_path}/{tokenizer.DEFAULT}"
+    t = tokenizers.Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = ["", "hello World 123 — naïve", "a" * 40, "日本語 x9"]
+    assert split(tokenizer.PairIndexEncoder(path), texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "k int, t string")
+    spark.conf.set(tokenizer.SETTING, str(tmp_path))
+    try:
+        assert [list(r.ids) for r in tokenizer.encode_column(df, "k", "t").orderBy("k").collect()] == split(tokenizer.PairIndexEncoder(path), texts)
+    finally:
+        spark.conf.unset(tokenizer.SETTING)
+    for bad in (file | {"normalizer": {"type": "NFC"}}, file | {"pre_tokenizer": {"type": "Whitespace"}}, file | {"model": file["model"] | {"end_of_word_suffix": "</w>"}}):
+        with pytest.raises(ValueError):
+            tokenizer.word_pattern(bad)
