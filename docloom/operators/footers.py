@@ -1,9 +1,9 @@
-"""Parquet footers, dictionary pages and page headers, read without decoding data pages."""
+"""Parquet footers, dictionary pages and page headers, read without decoding data pages, and single row groups."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -124,11 +124,41 @@ def dictionary_of(source, chunk) -> tuple[list[str] | None, bool]:
     return values, complete and values is not None
 
 
+def opened(path: str):
+    """A file of any store that pyarrow can open."""
+    fs, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return fs.open_input_file(name)
+
+
+def read_group(path: str, group: int, columns: list[str]) -> pa.Table:
+    """Columns of one row group; those that the file lacks are null texts."""
+    with opened(path) as source:
+        f = pq.ParquetFile(source)
+        have = [c for c in columns if c in f.schema_arrow.names]
+        t = f.read_row_group(group, columns=have)
+        n = f.metadata.row_group(group).num_rows
+    for c in columns:
+        if c not in have:
+            t = t.append_column(c, pa.nulls(n, pa.string()))
+    return t.select(columns)
+
+
+def each_group(chunks: DataFrame, work: Callable[[str, int, list[str]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Rows of `schema` that work(file, row group, columns) gives for every row group of chunks, each read by one task."""
+    groups = chunks.groupBy("file", "row_group").agg(F.array_sort(F.collect_set("column_name")).alias("columns"))  # as many as rules
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield from work(r["file"], r["row_group"], r["columns"])
+
+    return groups.repartition(4 * chunks.sparkSession.sparkContext.defaultParallelism, "file", "row_group").mapInArrow(read, schema)
+
+
 def read_footer(path: str, columns: list[str], group: str | None) -> list[tuple]:
     """One row for each row group and column of a file; see CHUNK. Values as text."""
-    fs, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
     rows = []
-    with fs.open_input_file(name) as source:
+    with opened(path) as source:
         meta = pq.read_metadata(source)
         for g in range(meta.num_row_groups):
             rg = meta.row_group(g)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import work_path
+from docloom.session import materialize, work_path
 
 #: The one normal form that needs no dictionary: UTC with milliseconds.
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\z"
@@ -235,6 +235,7 @@ class InstantDictionary:
     def __init__(self, spark, zones: FeedZones, path: str | None = None):
         self.spark, self.zones, self.path = spark, zones, path or work_path(spark, "instants")
         self.table: DataFrame | None = None
+        self.counts: DataFrame | None = None  # raw, feed, n of the values taken in last
         try:
             self.table = spark.read.parquet(self.path)
         except Exception as e:
@@ -245,7 +246,9 @@ class InstantDictionary:
         """Take in columns raw and feed: parse those not known yet and append them."""
         new = values.where(F.col("raw").isNotNull() & ~F.coalesce(F.col("raw").rlike(CANONICAL), F.lit(False)))
         new = new.groupBy("raw", "feed").agg(F.count(F.lit(1)).alias("n"))
-        if self.table is not None:
+        later = self.table is not None
+        if later:
+            new = self.counts = materialize(new, "counts")
             known = self.table.select("raw", "feed")
             new = new.join(known, [new.raw == known.raw, new.feed.eqNullSafe(known.feed)], "left_anti")
         zones = self.zones
@@ -257,15 +260,19 @@ class InstantDictionary:
 
         new.mapInPandas(parse, "raw string, feed string, n bigint, utc_micros bigint").write.mode("append").parquet(self.path)
         self.table = self.spark.read.parquet(self.path)
+        if not later:
+            self.counts = self.table.select("raw", "feed", "n")
         return self
 
     def match(self, rows: DataFrame, raw: str, feed: str, out: str = "utc_micros") -> DataFrame:
         """rows with the instant of column raw in a new column; rows without one get null. No row is lost."""
         canon = F.coalesce(F.col(raw).rlike(CANONICAL), F.lit(False))
         d = self.table
-        total = d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-        hot = d.where(F.col("n") > max(1, total * HOT_SHARE))
-        hot_rows = hot.limit(int(1 / HOT_SHARE) + 1).select("raw", "feed", "utc_micros").collect()
+        counts = d.select("raw", "feed", "n") if self.counts is None else self.counts
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+        hot = counts.where(F.col("n") > max(1, total * HOT_SHARE)).limit(int(1 / HOT_SHARE) + 1)
+        hot = d.join(F.broadcast(hot.select(F.col("raw").alias("__hr"), F.col("feed").alias("__hf"))), (F.col("raw") == F.col("__hr")) & F.col("feed").eqNullSafe(F.col("__hf")), "left_semi")
+        hot_rows = hot.select("raw", "feed", "utc_micros").collect()
         keyed = rows.withColumn(out, canonical_micros(F.col(raw))).withColumn("__raw", F.when(~canon, F.col(raw)))
         dic = d.select(F.col("raw").alias("__dr"), F.col("feed").alias("__df"), F.col("utc_micros").alias("__du"))
         on = [F.col("__raw") == F.col("__dr"), F.col(feed).eqNullSafe(F.col("__df"))]

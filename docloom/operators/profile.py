@@ -1,19 +1,25 @@
 """Column profiles from file footers and dictionaries, with scans only where these don't suffice.
 
 Footers give exact nulls and extrema of a chunk, dictionary pages its candidate values. A chunk of one load
-with at most one value is counted from these alone; the files of other chunks are scanned, for the profiled columns
+with at most one value is counted from these alone; other chunks are scanned, row group by row group and for the profiled columns
 only, into value counts by load, from which shares, distinct counts, ranges and medians follow. Rows that break a
-pattern are looked for only in files with a dictionary entry that breaks it, or without a full dictionary.
+pattern are looked for only in chunks with a dictionary entry that breaks it, or without a full dictionary. Files of which every
+chunk needs a scan, whose store only Spark can open, or of tables whose load is a folder, are scanned by Spark as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from docloom.operators.footers import chunk_statistics
+from docloom.operators.footers import chunk_statistics, each_group, read_group
 from docloom.session import materialize
 
 #: Distinct numbers of a load that one task may order.
@@ -36,6 +42,12 @@ class Rule:
     def well_formed(self, c: Column) -> Column:
         return F.coalesce(c.isin(*self.codes) if self.codes else c.rlike(self.number), F.lit(False))
 
+    def breaking(self, c: pa.ChunkedArray) -> pa.ChunkedArray:
+        """Which values are neither missing nor well-formed, outside the JVM."""
+        there = pc.invert(pc.or_kleene(pc.is_null(c), pc.is_in(c, pa.array(self.missing, pa.string()))))
+        good = pc.is_in(c, pa.array(self.codes, pa.string())) if self.codes else pc.fill_null(pc.match_substring_regex(c, self.number), False)
+        return pc.and_(there, pc.invert(good))
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -61,10 +73,24 @@ class Profile:
         self._base = {"basePath": path} if len(self.files) > 1 else {}  # keeps columns that are folders
         self.chunks = materialize(chunk_statistics(spark, self.files, [r.column for r in rules], load), "chunks")
         self._counts: DataFrame | None = None
-
-    def _files(self, chunks: DataFrame) -> list[str]:
-        """Names of files, as many as the table has at most."""
-        return [r.file for r in chunks.select("file").distinct().collect()]
+        # Chunks that a task may read by itself: texts, of a load that lies in the file, and a footer that was read.
+        texts = [r.column for r in rules if r.column in self.rows.columns and isinstance(self.rows.schema[r.column].dataType, T.StringType)]
+        foldered = any(f"/{c}=" in f for f in self.files[:1] for c in self.rows.columns)
+        whole = isinstance(self.rows.schema[load].dataType, T.IntegralType) and not foldered if load in self.rows.columns else False
+        self._own = F.lit(whole) & F.col("n_rows").isNotNull() & F.col("column_name").isin(texts)
+
+    def _plan(self, settled: Column) -> DataFrame:
+        """The chunks with `how` they are treated: known (settled by their footer), group (a task reads the row group), file (Spark scans it)."""
+        at = ["file", "column_name"]
+        files = self.chunks.groupBy(*at).agg(F.bool_and(self._own).alias("own"), F.count(F.lit(1)).alias("n_all"), F.count_if(settled).alias("n_settled"))
+        none, every = F.col("n_settled") == 0, F.col("n_settled") == F.col("n_all")
+        how = F.when(every, "known").when(none | ~F.col("own"), "file").when(settled, "known").otherwise("group")
+        return self.chunks.join(files, at).withColumn("how", how).drop("own", "n_all", "n_settled")
+
+    @staticmethod
+    def _named(chunks: DataFrame) -> list[str]:
+        """Names of files, as many as the table has at most, which the driver lists anyway."""
+        return [r.file for r in chunks.where("how = 'file'").select("file").distinct().collect()]
 
     def footers(self) -> DataFrame:
         """For each column: rows, nulls, least and greatest text, distinct candidates, from footers and dictionaries alone.
@@ -88,11 +114,23 @@ class Profile:
             bare = (F.col("n_nulls") == F.col("n_rows")) | ((F.col("n_nulls") == 0) & F.col("complete") & (F.size("candidates") == 1))
             enough = F.coalesce((F.col("group_min") == F.col("group_max")) & bare, F.lit(False))
             parts = []
-            short = self.chunks.groupBy("file", "column_name").agg(F.bool_and(enough).alias("enough"))
-            known = self.chunks.join(short.where("enough"), ["file", "column_name"], "left_semi")
+            plan = materialize(self._plan(enough), "plan")
+            known = plan.where("how = 'known'")
             parts.append(known.select("column_name", F.col("group_min").cast("bigint").alias("load"), F.get("candidates", F.lit(0)).alias("value"), F.col("n_rows").alias("n")))
+            load = self.load
+
+            def count(file: str, group: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+                t = read_group(file, group, [load, *columns])
+                for c in columns:
+                    n = t.select([load, c]).rename_columns(["load", "value"]).group_by(["load", "value"]).aggregate([([], "count_all")])
+                    cols = [pa.array([c] * n.num_rows, pa.string()), n["load"].cast(pa.int64()), n["value"].cast(pa.string()), n["count_all"]]
+                    yield from pa.table(cols, names=["column_name", "load", "value", "n"]).combine_chunks().to_batches()
+
+            some = plan.where("how = 'group'")
+            if not some.isEmpty():
+                parts.append(each_group(some, count, "column_name string, load bigint, value string, n bigint"))
             scans: dict[tuple[str, ...], list[str]] = {}
-            for r in short.where(~F.col("enough")).groupBy("file").agg(F.array_sort(F.collect_set("column_name")).alias("c")).collect():
+            for r in plan.where("how = 'file'").groupBy("file").agg(F.array_sort(F.collect_set("column_name")).alias("c")).collect():
                 scans.setdefault(tuple(r.c), []).append(r.file)
             for columns, files in scans.items():
                 have = [c for c in columns if c in self.rows.columns]
@@ -127,11 +165,22 @@ class Profile:
         for r in self.rules:
             value = F.col("__x")
             suspect = F.exists("candidates", lambda x: ~r.is_missing(x) & ~r.well_formed(x)) | ~F.col("complete")
-            files = self._files(self.chunks.where((F.col("column_name") == r.column) & suspect))
-            if not files:
-                continue
-            rows = self.spark.read.options(**self._base).schema(self.rows.schema).parquet(*files).select(*keep, F.col(r.column).cast("string").alias("__x"))
-            part = rows.where(~r.is_missing(value) & ~r.well_formed(value)).select(F.lit(r.column).alias("column_name"), *keep)
+            plan = materialize(self._plan(~F.coalesce(suspect, F.lit(True))).where(F.col("column_name") == r.column), "plan")
+            shape = self.rows.select(F.lit(r.column).alias("column_name"), *keep).schema
+            arrow = to_arrow_schema(shape)
+
+            def find(file: str, group: int, columns: list[str], r=r, arrow=arrow) -> Iterator[pa.RecordBatch]:
+                t = read_group(file, group, [*dict.fromkeys([*keep, r.column])])
+                t = t.filter(r.breaking(t[r.column].cast(pa.string())))
+                cols = [pa.array([r.column] * t.num_rows, pa.string()), *[t[k].cast(arrow.field(k).type) for k in keep]]
+                yield from pa.table(cols, schema=arrow).combine_chunks().to_batches()
+
+            some, files = plan.where("how = 'group'"), self._named(plan)
+            part = each_group(some, find, shape.simpleString()) if not files or not some.isEmpty() else None
+            if files:
+                rows = self.spark.read.options(**self._base).schema(self.rows.schema).parquet(*files).select(*keep, F.col(r.column).cast("string").alias("__x"))
+                scanned = rows.where(~r.is_missing(value) & ~r.well_formed(value)).select(F.lit(r.column).alias("column_name"), *keep)
+                part = scanned if part is None else part.unionByName(scanned)
             out = part if out is None else out.unionByName(part)
         return self.rows.select(F.lit("").alias("column_name"), *keep).limit(0) if out is None else out
 

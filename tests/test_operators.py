@@ -245,6 +245,37 @@ def test_profile_of_files_with_and_without_dictionary(spark, tmp_path):
     assert [(r.column_name, r.load) for r in p.shifted_loads().collect()] == [("num", 3)]
 
 
+def test_chunks_that_footers_settle_are_not_read(spark, tmp_path):
+    """One file of ten row groups, of which three need a scan; the data pages of the others can't be decoded."""
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    rows = [(f"{g}-{i}", 1 + g // 5, "A" if g not in (2, 6, 7) else rng.choice("AB?")) for g in range(10) for i in range(100)]
+    df = pd.DataFrame(rows, columns=["_id", "load_no", "code"])
+    path = f"{tmp_path}/t.parquet"
+    pq.write_table(pa.Table.from_pandas(df, preserve_index=False), path, row_group_size=100, compression="snappy")
+    meta = pq.read_metadata(path)
+    with open(path, "r+b") as f:
+        for g in range(10):
+            if g not in (2, 6, 7):
+                for c in ("_id", "code"):
+                    x = next(meta.row_group(g).column(k) for k in range(3) if meta.row_group(g).column(k).path_in_schema == c)
+                    f.seek(x.dictionary_page_offset + x.total_compressed_size - 4)
+                    f.write(b"\xff" * 4)
+    for g in (0, 2):
+        try:
+            pq.ParquetFile(path).read_row_group(g)
+            assert g == 2
+        except (OSError, pa.ArrowException):
+            assert g == 0
+    p = profile.Profile(spark, f"file://{path}", [profile.Rule("code", codes=("A", "B"))])
+    assert {r._id for r in p.breaking_rows(["_id"]).collect()} == {i for i, _, c in rows if c == "?"}
+    got = {(r.load, r.value): r.n for r in p.counts().collect()}
+    assert got == df.groupby(["load_no", "code"]).size().to_dict()
+
+
 def test_medians_that_need_narrowing(spark, monkeypatch):
     import statistics
 
