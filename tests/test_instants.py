@@ -76,3 +76,13 @@ def test_dictionary_is_kept_and_grows(spark, tmp_path):
     assert first.table.count() == 1
     again = InstantDictionary(spark, ZONES, path).add(spark.createDataFrame([("1719792000", "KA1"), ("1719792001", "KA1"), (None, "KA1")], "raw string, feed string"))
     assert again.table.count() == 2 and again.table.where("raw = '1719792000'").count() == 1
+
+
+def test_values_that_become_frequent_later(spark, tmp_path):
+    kind = "raw string, feed string"
+    d = InstantDictionary(spark, ZONES, f"file://{tmp_path}/d").add(spark.createDataFrame([("1719792000", "KA1")] + [(f"17197920{i:02d}", "KA1") for i in range(1, 60)], kind))
+    later = spark.createDataFrame([("1719792000", "KA1")] * 500 + [("1719792001", "KA1"), (None, None)], kind)
+    d.add(later)
+    assert {r.raw: r.n for r in d.counts.collect()} == {"1719792000": 500, "1719792001": 1} and d.table.count() == 60
+    got = d.match(later, "raw", "feed")
+    assert got.where(f"utc_micros = {at(2024, 7, 1)}").count() == 500 and got.count() == 502
