@@ -54,8 +54,8 @@ LANGUAGES = {w: tuple(x.split()) for w, x in (WRITTEN | WRITTEN_WIDE).items()}
 #: more where the text shows no sign of them; and
 #: bytes that each oddity of a text costs beyond its compressed size (signs inside words, letters of two scripts or
 #: capitals after small letters side by side, control characters, drawing signs).
-#: a loss of bytes costs a step, and the places at which they are missing.
-UTF8_COST, OTHER_COST, HIDDEN_COST, ODD_COST, LOST_COST, GAP_COST = 1, 6, 12, 2, 8, 1
+#: a loss of bytes costs a step.
+UTF8_COST, OTHER_COST, HIDDEN_COST, ODD_COST, LOST_COST = 1, 6, 12, 2, 8
 #: Passages of at most so many characters are remembered by a task, and how many of them.
 SHORT, REMEMBERED = 400, 50_000
 #: Bytes that other readings of a text's characters beyond ASCII may save with one dictionary: some at any rate, and some for each. No
@@ -515,15 +515,15 @@ class Restorer:
     def lost(self, text: str, lang: str) -> bool:
         """Whether a text, or a line of it, is described by fewer bytes as one whose bytes were lost at some places.
 
-        As it is, replacement characters are part of it, and those in words or runs are oddities; as one with losses it is the text
-        without them, the cost of a loss, and that of each gap.
+        As it is, replacement characters are part of it, and those in words or runs, or alone for a third time and more, are oddities;
+        as one with losses it is the text without them and the cost of a loss.
         """
         for part in [text, *text.split("\n")] if "\ufffd" in text else ():
             gaps = len(LOST.findall(part))
             if gaps:
                 rest = LOST.sub("", part)
-                shown = min(self.length(part, x) for x in {lang, "en"}) + ODD_COST * sum(map(len, TORN.findall(part)))
-                if min(self.length(rest, x) for x in {lang, "en"}) + LOST_COST + GAP_COST * gaps < shown:
+                shown = min(self.length(part, x) for x in {lang, "en"}) + ODD_COST * max(sum(map(len, TORN.findall(part))), gaps - 2)
+                if min(self.length(rest, x) for x in {lang, "en"}) + LOST_COST < shown:
                     return True
         return False
 
