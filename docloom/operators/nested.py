@@ -1,8 +1,9 @@
 """Nested records as flat tables: objects stored once by identity, occurrences as bridge rows.
 
 Every subtree has an identity, the hash of its canonical form, in which children stand by their identities.
-`nodes` has each distinct object, array or scalar once; `bridge` has for each distinct parent its children with field and
-ordinal; `roots` names each record's subtree; `occurrences` has the elements of chosen arrays for each record.
+`nodes` has each distinct object, array or scalar once, and is stored so; `bridge` has for each distinct parent its children
+with field and ordinal, which a parent's canonical form lists; `roots` names each record's subtree, `places` the chosen arrays of each
+record, and `occurrences`, the elements of these arrays, are the bridge rows of the array that stands in a place.
 Records may be nested to any depth: texts are parsed and trees are hashed with stacks of their own. Numbers are
 exact: equal ones have one identity however they are written, and no digit is lost.
 """
@@ -17,7 +18,8 @@ from collections.abc import Iterator
 from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import materialize
@@ -26,6 +28,8 @@ OUT = "kind string, table_name string, row_id string, path string, pos bigint, p
 FIELDS = [x.split()[0] for x in OUT.split(", ")]
 ARROW = pa.schema([(n, pa.int64() if n == "pos" else pa.string()) for n in FIELDS])
 KINDS = ("node", "bridge", "root", "occurrence")
+#: What is stored; the bridge is read from the nodes, occurrences from both.
+STORED = ("node", "root", "place")
 ROWS_OUT = 20_000
 SPACE = re.compile(r"[ \t\r\n]*")
 NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
@@ -189,14 +193,19 @@ def leaf(value) -> tuple[str, str]:
     return "number", value.text if isinstance(value, Number) else plain_number(repr(value) if isinstance(value, float) else str(value))
 
 
+#: The identity of null.
+NULL = name_of(*leaf(None))
+
+
 class Shredder:
     """Cuts one record after another into rows; repeats of a subtree are left out while it is remembered.
 
-    paths: arrays whose elements are listed for each record, as tuples of field names. kinds: the rows wanted.
+    paths: arrays whose elements are listed for each record, as tuples of field names. kinds: the rows wanted; a place is
+    a record's array as a whole, an occurrence one element of it. first: number of the first record, the `pos` of its root and places.
     """
 
-    def __init__(self, paths: list[tuple[str, ...]], kinds: tuple[str, ...] = KINDS, remember: int = 200_000):
-        self.paths, self.kinds, self.remember, self.known = paths, frozenset(kinds), remember, set()
+    def __init__(self, paths: list[tuple[str, ...]], kinds: tuple[str, ...] = KINDS, remember: int = 200_000, first: int = 0):
+        self.paths, self.kinds, self.remember, self.known, self.number = paths, frozenset(kinds), remember, set(), first
         self.rows: list[tuple] = []
 
     def _new(self, kind: str, content: str, below: tuple[tuple[str, int | None, str], ...] = ()) -> str:
@@ -236,12 +245,11 @@ class Shredder:
 
     def record(self, table: str, row_id: str, value) -> None:
         value, met = as_container(value), {}
+        self.number += 1
         if "root" in self.kinds or "node" in self.kinds or "bridge" in self.kinds:
             root = self.identity(value, met)
             if "root" in self.kinds:
-                self.rows.append(("root", table, row_id, None, None, None, root, None, None))
-        if "occurrence" not in self.kinds:
-            return
+                self.rows.append(("root", table, row_id, None, self.number, None, root, None, None))
         held = []  # what was parsed here keeps its place in memory while `met` is used
         for path in self.paths:
             at = value
@@ -251,7 +259,9 @@ class Shredder:
                 at = at.get(step) if isinstance(at, dict) else None
             elements = as_elements(at)
             held.append(elements)
-            for i, x in enumerate(elements):
+            if "place" in self.kinds and elements:
+                self.rows.append(("place", table, row_id, ".".join(path), self.number, None, self.identity(elements, met), None, None))
+            for i, x in enumerate(elements if "occurrence" in self.kinds else ()):
                 if x is not None:
                     self.rows.append(("occurrence", table, row_id, ".".join(path), i, None, self.identity(x, met), None, None))
 
@@ -269,7 +279,7 @@ def shred(records: DataFrame, paths: list[tuple[str, ...]], kinds: tuple[str, ..
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.set_int_max_str_digits(0)  # a long number is sound JSON
-        s = Shredder(paths, kinds)
+        s = Shredder(paths, kinds, first=TaskContext.get().partitionId() << 40)
         for b in batches:
             for table, row_id, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if payload is None:
@@ -286,8 +296,13 @@ def shred(records: DataFrame, paths: list[tuple[str, ...]], kinds: tuple[str, ..
     return records.select("table_name", "row_id", "payload").mapInArrow(work, OUT)
 
 
+def items(content: Column) -> Column:
+    """The identities in the canonical form of an array that isn't empty."""
+    return F.split(F.substr(content, F.lit(3), F.length(content) - 4), '","')
+
+
 class Flat:
-    """The related tables of a set of records. The occurrences alone are made without storing anything."""
+    """The related tables of a set of records."""
 
     def __init__(self, records: DataFrame, paths: list[tuple[str, ...]]):
         self.records, self.paths = records, paths
@@ -295,30 +310,48 @@ class Flat:
 
     @property
     def rows(self) -> DataFrame:
-        """The rows of all kinds, stored on first use."""
+        """The rows of the kinds of STORED, stored on first use, each node once.
+
+        Equal nodes of several tasks meet by their identity. Roots and places have the number of their record, so that none is a repeat.
+        """
         if self._rows is None:
-            self._rows = materialize(shred(self.records, self.paths), "shredded")
+            key = F.coalesce(F.when(F.col("kind") != "node", F.col("pos").cast("string")), "child").alias("key")
+            rows = shred(self.records, self.paths, STORED).select("kind", "table_name", "row_id", "path", "pos", "child", "node_type", "content", key)
+            self._rows = materialize(rows.repartition("key").distinct().drop("key"), "shredded", ["kind"], "zstd")
         return self._rows
 
     @property
     def nodes(self) -> DataFrame:
         """child (identity), node_type, content of each distinct subtree."""
-        return self._of("node").groupBy("child").agg(F.first("node_type").alias("node_type"), F.first("content").alias("content"))
+        return self._of("node").select("child", "node_type", "content")
 
     @property
     def bridge(self) -> DataFrame:
         """parent, field, pos, child: the children of each distinct object or array."""
-        return self._of("bridge").select("parent", F.col("path").alias("field"), "pos", "child").distinct()
+        objects = self.nodes.where("node_type = 'object'").select("child", F.explode(F.from_json("content", "array<array<string>>", {"maxStringLen": str(2**31 - 1)})).alias("x"))
+        fields = objects.select(F.col("child").alias("parent"), F.col("x")[0].alias("field"), F.lit(None).cast("bigint").alias("pos"), F.col("x")[1].alias("child"))
+        places = self._lists.select(F.col("child").alias("parent"), F.lit("").alias("field"), F.posexplode(items(F.col("content"))).alias("pos", "child"))
+        return fields.unionByName(places.withColumn("pos", F.col("pos").cast("bigint")))
 
     @property
     def roots(self) -> DataFrame:
         return self._of("root").select("table_name", "row_id", "child")
 
+    @property
+    def places(self) -> DataFrame:
+        """table_name, row_id, array_path, child: the chosen arrays of each record, but for empty ones."""
+        return self._of("place").select("table_name", "row_id", F.col("path").alias("array_path"), "child")
+
     @property
     def occurrences(self) -> DataFrame:
-        """table_name, row_id, array_path, pos, child of each element that is not null."""
-        rows = shred(self.records, self.paths, ("occurrence",)) if self._rows is None else self._of("occurrence")
-        return rows.select("table_name", "row_id", F.col("path").alias("array_path"), "pos", "child")
+        """table_name, row_id, array_path, pos, child of each element that is not null: the bridge rows of the array in each place."""
+        held = self.places.join(self._lists.select("child", "content"), "child")
+        each = held.select("table_name", "row_id", "array_path", F.posexplode(items(F.col("content"))).alias("pos", "child"))
+        return each.where(F.col("child") != NULL).withColumn("pos", F.col("pos").cast("bigint"))
+
+    @property
+    def _lists(self) -> DataFrame:
+        return self.nodes.where("node_type = 'array' AND content <> '[]'")
 
     def _of(self, kind: str) -> DataFrame:
         return self.rows.where(F.col("kind") == kind)

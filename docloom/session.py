@@ -53,14 +53,14 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, folders: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    folders: columns whose values are folders, so that a filter on them reads these only.
+    folders: columns whose values are folders, so that a filter on them reads these only. codec: of the files, else the session's.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path, partitionBy=folders)
+    df.write.parquet(path, partitionBy=folders, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

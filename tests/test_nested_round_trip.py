@@ -91,3 +91,15 @@ def test_all_records(spark, data):
             pass
     got = {(r.table_name, r.row_id): rebuild(r.child, kinds, below) for r in flat.roots.collect()}
     assert got == want and len(kinds) < sum(map(len, below.values())) + len(want)
+
+
+def test_occurrences_come_from_nodes_stored_once(spark, data):
+    df = problems.records(spark, data)
+    flat = nested.Flat(df.repartition(4).unionAll(df.repartition(3)), problems.ARRAYS)
+    got = [tuple(r) for r in flat.occurrences.collect()]
+    stored = [r.child for r in flat.rows.where("kind = 'node'").collect()]
+    assert len(stored) == len(set(stored)) and {r[-1] for r in got} <= set(stored)
+    below = {(r.parent, r.pos): r.child for r in flat.bridge.where("field = ''").collect()}
+    want = sorted((r.table_name, r.row_id, r.array_path, pos, child) for r in flat.places.collect() for (parent, pos), child in below.items() if parent == r.child and child != nested.NULL)
+    assert sorted(got) == want and len(set(got)) * 2 == len(got)
+    assert "Join" in problems.p3_found(spark, data)._jdf.queryExecution().optimizedPlan().toString()
