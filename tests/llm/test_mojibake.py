@@ -186,3 +186,28 @@ def test_documents(spark, data):
     rows = queries.p10_restored(spark, data).collect()
     assert queries.p10_found(spark, data).columns == ["doc_id"]
     assert 0 < len(rows) < 30 and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_what_is_ruled_out_early_cannot_be(model, docs, monkeypatch):
+    """Readings ruled out by runs, and shapes found by their rarer part, are those that whole texts tell."""
+    wide, called, raws = list(mojibake.WRITTEN_WIDE), [], 0
+    texts = [r.text[:400] for r in docs.itertuples() if r.text and not r.text.isascii()][:600]
+    texts += [read_as(t, "utf-8", read) for t in texts[:100] for read in ("cp1252", "cp1251", "mac_roman")]
+    for t in texts:
+        assert mojibake.misshapen(t) == bool(mojibake.SHAPES.search(t))
+        own = mojibake.shared("".join(sorted({c for c in t if c > "\x7f"})))
+        bad = mojibake.unreadable(t, own.wide_reads)
+        for i in own.reads:
+            raw = mojibake.to_bytes(t, mojibake.READ[i])
+            one = re.search(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}", raw)
+            assert (one and one.span()) == ((m := mojibake.UTF8.search(raw)) and m.span()) and (own.utf8 >> i & 1 or not one)
+            for j, written in enumerate(wide):
+                raws += 1
+                if bad >> i * len(wide) + j & 1:
+                    with pytest.raises(UnicodeDecodeError):
+                        raw.decode(written)
+    whole = mojibake.decoded
+    monkeypatch.setattr(mojibake, "decoded", lambda *x: called.append(x) or whole(*x))
+    for t in texts:
+        model.candidates(t, "en")
+    assert 0 < len(called) < raws / 3
