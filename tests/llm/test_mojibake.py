@@ -3,6 +3,7 @@ import re
 
 import pandas as pd
 import pytest
+import zstandard
 
 from docloom.llm import mojibake, queries
 
@@ -211,3 +212,62 @@ def test_what_is_ruled_out_early_cannot_be(model, docs, monkeypatch):
     for t in texts:
         model.candidates(t, "en")
     assert 0 < len(called) < raws / 3
+
+
+def test_shortcuts_give_what_the_plain_rules_give(model, docs):
+    texts = [r.text[:600] for r in docs.itertuples() if r.text and not r.text.isascii()][:400]
+    texts += [read_as(t, "utf-8", read) for t in texts[:60] for read in ("cp1252", "cp1251", "mac_roman", "cp866")]
+    texts += [t.replace("\xa0", " ") for t in texts[-240:]] + ["é", "é9é9", "\né", "éa\nñ", "ÐŸÐ ÐŸÐ°Ð"]
+    ruled = sandwiches = 0
+    for t in texts:
+        high = mojibake.without_ascii(t)
+        chars = "".join(sorted(set(high)))
+        own = mojibake.shared(chars)
+        assert mojibake.neighbours(t) == "\n".join(sorted({t[max(0, m.start() - 1) : m.end() + 1] for m in re.finditer("[^\x00-\x7f]+", t)}))
+        assert bool(mojibake.LONG_RUN.search(t)) == bool(re.search("[^\x00-\x7f]{2}|[^\x00-\x7f][0-9][^\x00-\x7f][0-9]", t))
+        assert all(mojibake.aliens(high, chars, x) == len(mojibake.foreign(x).findall(t)) for x in model.dictionaries)
+        side, bad = mojibake.side_by_side(t), mojibake.unreadable(t, own.wide_reads, True)
+        for i in own.reads:
+            raw = mojibake.to_bytes(t, mojibake.READ[i])
+            for j, written in enumerate(mojibake.WRITTEN_WIDE):
+                new = mojibake.decoded(raw, written, False) if bad >> i * len(mojibake.WRITTEN_WIDE) + j & 1 else None
+                assert new is None or re.search("[a-zß-ÿ][\u3040-\u30ff\u4e00-\u9fff][a-zß-ÿ]", new)
+                sandwiches += new is not None
+            assert side >> i & 1 or not mojibake.UTF8.search(raw)
+            sound = mojibake.UTF8.findall(raw)
+            mended, n = re.subn(rb"([\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]) ", b"\\1\xa0", raw)
+            near = mended if n * 4 <= len(sound) else raw
+            few = len(re.findall(rb"[\x80-\xff]", mojibake.UTF8.sub(b"", near))) * 8 <= len(mojibake.UTF8.findall(near))
+            try:
+                want = raw.decode() if sound else None
+            except UnicodeDecodeError:
+                want = near.decode("utf-8", "replace") if few else None
+            assert mojibake.from_utf8(raw) == want
+        left = mojibake.unbroken(own.swaps, t)
+        for i in mojibake.bits(own.swaps & ~left):
+            read, written = mojibake.PAIRS[i]
+            assert mojibake.SHAPES.search(mojibake.to_bytes(t, read).decode(written))
+            ruled += 1
+    assert ruled > 1000 and sandwiches > 100
+    for x in model.dictionaries:
+        assert all(model.size(w, x) >= mojibake.FRAME for t in texts[:100] for w in (t[:1], t[:3], t[:40])) and model.size(" ", x) == mojibake.FRAME
+
+
+def test_no_work_on_readings_that_cannot_win(model, monkeypatch):
+    """Of short texts whose readings cost more in steps than could be saved, these are not compressed."""
+    sized, whole, candidates = [], zstandard.ZstdCompressor, mojibake.Restorer.candidates
+
+    class Counted:
+        def __init__(self, **args):
+            self.of = whole(**args)
+
+        def compress(self, raw):
+            sized.append(raw.decode())
+            return self.of.compress(raw)
+
+    monkeypatch.setattr(mojibake.zstandard, "ZstdCompressor", Counted)
+    fresh, options = mojibake.Restorer(model.dictionaries), []
+    monkeypatch.setattr(mojibake.Restorer, "candidates", lambda *x: options.extend(got := candidates(*x)) or got)
+    for word in ("“Menu”", "Über uns", "Ça va", "«Menú»", "£ 20", "– Home –"):
+        assert fresh.chain(word, "en") == (word, [])
+    assert options and len({*sized} & {x[0] for x in options}) < len(options) / 2
